@@ -191,7 +191,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, cover: fl
     return docs.sparkSession.createDataFrame([], LEAKS) if found is None else found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item; rows without doc_id are told apart from others by their text alone."""
-    leaks = find_leaks(docs.withColumn("doc_id", F.xxhash64(F.col("text"))), benchmark, **options).select(F.col("doc_id").alias("_h")).distinct()
-    return docs.withColumn("_h", F.xxhash64(F.col("text"))).join(leaks, "_h", "left_anti").drop("_h")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 5, cover: float = 0.8, shortest: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs that hold no benchmark item, all columns as they were: a filter for each block of the benchmark."""
+    for items in benchmark_blocks(benchmark, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            block = Block(items, window, shortest)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for a, _, data, offsets in chunks(batch.column("text")):
+                    for d, *_ in block.leaks(*block.canon.words(data, offsets), cover):
+                        clean[a + d] = False
+                yield batch if clean.all() else batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

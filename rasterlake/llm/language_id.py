@@ -45,6 +45,10 @@ def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256,
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: What stands before a text of fewer bytes: zstandard stores a block as it is unless that saves a few bytes, and a short text alone never does.
+PAD, SHORT = bytes(64), 512
+
+
 def letters(text: bytes) -> bytes:
     return b" ".join(text.translate(LETTERS).split())
 
@@ -65,6 +69,8 @@ class Classifier:
 
     def sizes(self, text: bytes) -> list[int]:
         text = letters(text)
+        if len(text) < SHORT:
+            text = PAD + text
         parts = [text[i : i + self.block] for i in range(0, len(text), self.block)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
 

@@ -48,8 +48,8 @@ def schedule(spark, target: dict[str | None, float], slots: int) -> DataFrame:
     return spark.range(slots).select(F.col("id").alias("slot"), number.alias("number"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, max_slots: int = 1 << 20, parts: int = 256, seed: str = "mix") -> DataFrame:
-    """How many words of each document the mix takes: docs with size, source_size, target, taken.
+def mixed(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, max_slots: int = 1 << 20, parts: int = 256, seed: str = "mix") -> DataFrame:
+    """How many words of each document the mix takes: row (a struct of docs' columns `carry`), size, source_size, target, taken.
 
     A slot is ceil(all words / max_slots) words long. A source whose slots hold n words takes its whole stream
     n div size times and the first n mod size words of it again; n is held at `most` times the stream, so no document
@@ -60,7 +60,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     spark = docs.sparkSession
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     label = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
-    keyed = docs.withColumns({"size": size, "_src": label, "_hash": F.xxhash64(order_id(), F.lit(seed)), "_sha": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = docs.select(row, size.alias("size"), label.alias("_src"), F.xxhash64(order_id(), F.lit(seed)).alias("_hash"), order_id().alias("_id"), crc.alias("_sha"))
     keyed = keyed.withColumn("_part", F.pmod(F.shiftright("_hash", 40), F.lit(parts)).cast("int"))
     sums = keyed.groupBy("_src", "_part").agg(F.sum("size").alias("_words"))
     per_source = {r["_src"][1:] if r["_src"] != "0" else None: int(r["words"]) for r in sums.groupBy("_src").agg(F.sum("_words").alias("words")).collect()}
@@ -73,11 +75,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     plan = spark.createDataFrame(rows, "_src string, source_size long, target double, _take long")
     # the stream: parts of the shuffle in turn, by hash within a part
     before = sums.select("_src", "_part", (F.sum("_words").over(Window.partitionBy("_src").orderBy("_part")) - F.col("_words")).alias("_before"))
-    within = F.sum("size").over(Window.partitionBy("_src", "_part").orderBy("_hash", "doc_id", "_sha").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("_src", "_part").orderBy("_hash", "_id", "_sha").rowsBetween(Window.unboundedPreceding, 0))
     placed = keyed.withColumn("_within", within - F.col("size"))
     joined = placed.join(before, ["_src", "_part"]).join(F.broadcast(plan), "_src")  # plan: a row a source, made on the driver
     start = F.col("_before") + F.col("_within")
     some = F.greatest(F.lit(0), F.least(start + F.col("size"), F.col("_take") % F.greatest(F.col("source_size"), F.lit(1))) - start)
     full = F.floor(F.col("_take") / F.greatest(F.col("source_size"), F.lit(1)))
     taken = F.when(F.col("size") > 0, full * F.col("size") + some).otherwise(0).cast("long")
-    return joined.withColumn("taken", taken).drop("_hash", "_sha", "_part", "_src", "_within", "_before", "_take")
+    return joined.select("row", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
+    """docs' columns (or those in carry), but for any of these names, with size, source_size, target and taken: see mixed."""
+    made = ("size", "source_size", "target", "taken")
+    names = [c for c in carry or docs.columns if c not in made]
+    return mixed(docs, names, **options).select(*[F.col("row").getField(c).alias(c) for c in names], *made)

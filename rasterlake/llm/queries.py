@@ -64,8 +64,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(read(spark, sf_dir, "documents"), ["doc_id", "source"]).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
