@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 21
 NULL_ID = (1 << 63) - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -160,10 +161,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: what reads it does not run df's plan again, whatever executors are lost."""
+    """df as a table in the shared folder: what reads it does not run df's plan again, whatever executors are lost.
+
+    Its shuffle files go once it is written; nothing runs its plan again.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

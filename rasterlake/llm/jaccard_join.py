@@ -91,16 +91,17 @@ class Slices:
         return np.concatenate(out)
 
 
-def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id (an order id), n_shingles, node of every row; node is null for an empty set."""
+def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id (an order id), n_shingles, size class and node of every row; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler, slices = Shingler(n), Slices(percent)
         for batch in batches:
-            made = [(len(x), node_of(x) if len(x) else None) for x in shingler.sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            made = [(len(x), slices.class_of(len(x)), node_of(x) if len(x) else None) for x in shingler.sets(batch.column("text"))]
+            kinds = (pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in made], k) for i, k in enumerate(kinds))], names=["doc_id", "n_shingles", "class", "node"])
 
-    return docs.select(order_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(order_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class int, node long")
 
 
 def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20) -> DataFrame:
@@ -214,32 +215,33 @@ def forest(links: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, least_block: int = 64, most_block: int = 1024) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 128, most_block: int = 1024) -> DataFrame:
     """Links a, b within clusters: rows of blocks of a cluster are multiplied, pair of blocks by pair of blocks.
 
-    clusters: owner (a row's order id), node, root, size (of the cluster). A cluster's blocks have about 1/16 of it,
-    but least_block rows at least and most_block at most: a task holds the sets of two blocks.
+    members: owner (a row's order id), node, root, class. A block holds rows of one size class of a cluster, an eighth
+    of them, but least_block at least and most_block at most; it meets the blocks of its own class and the next ones,
+    as other sizes cannot link. A task holds the sets of two blocks.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler, names = Shingler(n), ["root", "node", "class", "below", "own", "above"]
         for batch in batches:
             made = list(shingler.sets(batch.column("text")))
             right = [len(x) > 0 and node_of(x) == v for x, v in zip(made, batch.column("node").to_pylist())]  # an id may be on several rows
             for at in range(0, len(made), 256):
                 some = [i for i in range(at, min(at + 256, len(made))) if right[i]]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some, pa.int64())) for c in ("root", "node", "blocks")), pa.array([made[i].tobytes() for i in some], pa.binary())], names=["root", "node", "blocks", "columns"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some, pa.int64())) for c in names), pa.array([made[i].tobytes() for i in some], pa.binary())], names=[*names, "columns"])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             found = []
-            if held and last[1] == last[2]:
+            if held and last[1:3] == last[3:5]:
                 ids, own = list(held), [x for _, x in held.values()]
                 found = [(ids[i], ids[j]) for i, j in forest(linked(own, own, percent, True))]
             elif held:
-                a, b = [(k, x) for k, (i, x) in held.items() if i == last[1]], [(k, x) for k, (i, x) in held.items() if i == last[2]]
+                a, b = ([(k, x) for k, (at, x) in held.items() if at == side] for side in (last[1:3], last[3:5]))
                 if a and b:
                     pairs = linked([x for _, x in a], [x for _, x in b], percent, False)
                     found = list(forest((a[i][0], b[j][0]) for i, j in pairs))
@@ -247,21 +249,29 @@ def verified_links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, l
                 yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
         for batch in batches:
-            for root, i, j, block, node, columns in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "block", "node", "columns"))):
-                if (root, i, j) != last:
+            for root, c, i, d, j, k, block, node, columns in zip(*(batch.column(x).to_pylist() for x in ("root", "c", "i", "d", "j", "class", "block", "node", "columns"))):
+                if (root, c, i, d, j) != last:
                     yield from flush()
-                    last, held = (root, i, j), {}
-                held[node] = (block, np.frombuffer(columns, np.uint64))
+                    last, held = (root, c, i, d, j), {}
+                held[node] = ((k, block), np.frombuffer(columns, np.uint64))
         yield from flush()
 
-    per_block = F.greatest(F.lit(least_block), F.least(F.lit(most_block), F.ceil(F.col("size") / 16)))
-    wanted = clusters.withColumn("blocks", F.ceil(F.col("size") / per_block).cast("int"))
+    counts = members.groupBy("root", "class").agg(F.count("*").alias("size"))
+    per_block = F.greatest(F.lit(least_block), F.least(F.lit(most_block), F.ceil(F.col("size") / 8)))
+    blocks = counts.select("root", "class", F.ceil(F.col("size") / per_block).cast("int").alias("own"))
+    beside = lambda step, name: blocks.select("root", (F.col("class") + step).alias("class"), F.col("own").alias(name))
+    blocks = blocks.join(beside(1, "below"), ["root", "class"], "left").join(beside(-1, "above"), ["root", "class"], "left").na.fill(0, ["below", "above"])
+    wanted = members.join(blocks, ["root", "class"])
     texts = docs.select(order_id().alias("owner"), "text")
-    rows = texts.join(wanted, "owner").select("text", "root", "node", "blocks").mapInArrow(sets, "root long, node long, blocks int, columns binary")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    paired = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "columns")
-    dealt = paired.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    rows = texts.join(wanted, "owner").select("text", "root", "node", "class", "below", "own", "above")
+    rows = rows.mapInArrow(sets, "root long, node long, class int, below int, own int, above int, columns binary")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+    k, b = F.col("class"), F.col("block")
+    each = lambda count, f: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), f)).otherwise(F.array())
+    pair = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
+    pairs = F.concat(each("own", lambda o: pair(k, F.least(b, o), k, F.greatest(b, o))), each("above", lambda o: pair(k, b, k + 1, o)), each("below", lambda o: pair(k - 1, o, k, b)))
+    paired = rows.withColumn("pair", F.explode(pairs)).select("root", "pair.*", "class", "block", "node", "columns")
+    dealt = paired.repartition("root", "c", "i", "d", "j").sortWithinPartitions("root", "c", "i", "d", "j")
     return dealt.mapInArrow(products, "a long, b long")
 
 
@@ -274,11 +284,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     reach. Rows with equal sets are one node, so repeated rows and copies never make pairs. A null doc_id comes after
     all others and is the component_id only among its like. Sets and shingles are told apart by 64-bit hashes.
     """
-    every = written(nodes(docs, n), "nodes")
-    owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"))
+    every = written(nodes(docs, n, percent), "nodes")
+    owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("class").alias("class"))
     clusters = components(candidate_links(docs, n, percent))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "root").join(owners, "node").select("owner", "node", "root", "size")
+    members = written(clusters.join(owners, "node").select("owner", "node", "root", "class"), "members")
     found = components(verified_links(docs, members, n, percent))
     smallest = found.join(owners, "node").groupBy("root").agg(F.min("owner").alias("component"))
     of_node = found.join(smallest, "root").select("node", "component")
