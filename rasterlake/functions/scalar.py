@@ -94,7 +94,7 @@ def observed_index(a: str, b: str) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def moisture_index(now: str | Column, dry: str | Column, wet: str | Column) -> Column:

@@ -55,7 +55,7 @@ def spi(df: DataFrame, scale: int = 3, value: str = "precip") -> DataFrame:
     x = x.withColumns({c: F.when(few, F.col("all_" + c)).otherwise(F.col(c)) for c in ("q", "shape", "scale")})
     x = x.withColumn("g", gamma_p(F.col("shape"), F.col("acc") / F.col("scale")))
     h = F.when(F.col("acc") > 0, F.col("q") + (1 - F.col("q")) * F.col("g")).when(F.col("acc").isNotNull(), F.col("q") / 2)
-    x = x.withColumn("h", F.when(F.col("varies") & F.col("whole"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), h))))
+    x = x.withColumn("h", F.when(F.col("varies") & F.col("whole") & h.isNotNull(), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), h))))
     return x.select("pixel", "month", normal_quantile(F.col("h")).alias("spi"))
 
 
