@@ -13,32 +13,45 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Powers, alphabet, byte_table, chunks, order_id, ranges, word_hashes, words, written
+from .common import NULL_ID, Powers, alphabet, byte_table, chunks, discard, order_id, ranges, word_hashes, words, written
 
 #: Bytes of control streams to the byte lengths of their four ranks.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
-#: Texts are cut at these two; no token of the vocabulary spans them.
+#: Texts are cut at these two, and between an ASCII letter and one of these marks; no token of the vocabulary spans such a place.
 PIECES = ~alphabet((0x20, 0x20), (0x0A, 0x0A))
+ASCII_LETTERS = alphabet((0x41, 0x5A), (0x61, 0x7A))
+MARKS = alphabet((0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all pieces, and each document's first."""
+    starts, ends, _ = words(data, offsets, PIECES)
+    letter, mark = ASCII_LETTERS[data], MARKS[data]
+    cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    inner = np.searchsorted(starts, cut, "right") - 1
+    cut = cut[(inner >= 0) & (cut > starts[inner]) & (cut < ends[inner])] if len(starts) else cut[:0]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends, np.searchsorted(starts, offsets)
 
 BLOCK = "shard int, block int, doc_ids binary, counts binary, control binary, data binary, n_tokens long"
 
 
 class Encoder:
-    """Encodes whole texts. A piece between spaces is encoded once and found again by its 64-bit hash."""
+    """Encodes whole texts. A piece is encoded once, whatever the case of A-Z, and found again by its 64-bit hash."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.powers, self.table = Powers(71), byte_table(72)
+        self.powers, self.folded, self.exact = Powers(71), byte_table(72, lower=True), byte_table(73)
         self.forget()
 
     def forget(self) -> None:
@@ -56,17 +69,18 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk of documents, and the number of ids of each document."""
-        starts, ends, first = words(data, offsets, PIECES)
+        starts, ends, first = pieces(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        hashes = word_hashes(data, starts, ends, self.table, self.powers)
+        whole = data.tobytes()
+        # case matters in the names of special tokens only
+        hashes = word_hashes(data, starts, ends, self.exact if b"<|" in whole else self.folded, self.powers)
         distinct, one, place = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > self.most:
             self.forget()
         keys = distinct.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
-            whole = data.tobytes()
             self.learn([keys[i] for i in new], [whole[starts[j] : ends[j]].decode("utf-8", "replace") for j in one[new].tolist()])
         entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[place.ravel()]
         counts = self.counts[entry]
@@ -103,57 +117,69 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def frequencies(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -> DataFrame:
-    """How often each id occurs in all documents: id, n. As long as the vocabulary at most."""
+def frequencies(blocks: DataFrame) -> DataFrame:
+    """How often each id occurs in all blocks: id, n. As long as the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(), np.zeros(0, np.int64)
+        seen = np.zeros(1, np.int64)
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column("text")):
-                ids, _ = enc.encode(data, offsets)
-                got = np.bincount(ids, minlength=max(len(seen), end_id + 1))
-                got[end_id] += len(offsets) - 1
+            for row in batch.to_pylist():
+                got = np.bincount(unpack(row["control"], row["data"], row["n_tokens"]), minlength=len(seen))
                 got[: len(seen)] += seen
                 seen = got
         at = np.flatnonzero(seen)
         yield pa.record_batch({"id": pa.array(at, pa.int64()), "n": pa.array(seen[at], pa.int64())})
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("control", "data", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+#: Encoders of this process, by tokenizer file: a worker keeps its own over its tasks.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = 1 << 18) -> tuple[DataFrame, np.ndarray]:
     """Writes the files in ascending doc_id order; returns their blocks and the id of each rank.
 
-    tokenizer is the path of a tokenizer file that is on every machine. Ranks come from all documents' counts, ties by id.
+    tokenizer is the path of a tokenizer file that is on every machine. Texts are encoded once, into files whose ranks
+    are the ids themselves; their counts, ties by id, give the ranks of the files that stay.
     """
-    made: list[Encoder] = []
-
-    def encoder() -> Encoder:
-        if not made:
-            made.append(Encoder(tokenizer))
-        return made[0]
 
-    counted = {r["id"]: r["n"] for r in frequencies(docs, encoder, end_id).collect()}  # a row for each id of the vocabulary
-    ranked = np.array(sorted(counted, key=lambda i: (-counted[i], i)), np.uint32)
-    rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
-    rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard, block = encoder(), TaskContext.get().partitionId(), 0
+        enc, shard, block = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in chunks(batch.column("text"), 3 * block_ids):
+            for a, b, data, offsets in chunks(batch.column("text"), 8 * block_ids):
                 ids, counts = with_end(*enc.encode(data, offsets), end_id)
-                control, payload = pack(rank_of[ids])
+                control, payload = pack(ids)
                 yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([doc_ids[a:b].astype("<i8").tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u8").tobytes()], pa.binary()), "control": pa.array([control], pa.binary()), "data": pa.array([payload], pa.binary()), "n_tokens": pa.array([len(ids)], pa.int64())})
                 block += 1
 
     rows = docs.select(order_id().alias("doc_id"), "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, BLOCK), "tokens"), ranked
+    plain = written(ordered.mapInArrow(encode, BLOCK), "ids")
+    counted = {r["id"]: r["n"] for r in frequencies(plain).collect()}  # a row for each id of the vocabulary
+    ranked = np.array(sorted(counted, key=lambda i: (-counted[i], i)), np.uint32)
+    rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
+    rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pack(rank_of[unpack(*row)]) for row in zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")))]
+            new = {"control": pa.array([c for c, _ in made], pa.binary()), "data": pa.array([d for _, d in made], pa.binary())}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    final = written(plain.mapInArrow(rerank, BLOCK), "tokens")
+    discard(plain)
+    return final, ranked
 
 
 def read_token_files(blocks: DataFrame, ranked: np.ndarray) -> DataFrame:
