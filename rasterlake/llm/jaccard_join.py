@@ -29,6 +29,12 @@ class Shingler:
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Each row's distinct shingles as sorted 64-bit hashes."""
+        for x in self.sequences(column):
+            x = np.sort(x)
+            yield x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+    def sequences(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Each row's shingles in order, as 64-bit hashes."""
         n = self.n
         for _, _, data, offsets in chunks(column):
             starts, ends, first = words(data, offsets, SPACED)
@@ -40,8 +46,7 @@ class Shingler:
             g = mix(g)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                 if b - a >= n:
-                    x = np.sort(g[a : b - n + 1])
-                    yield x[np.concatenate([[True], x[1:] != x[:-1]])]
+                    yield g[a : b - n + 1]
                 elif b > a:
                     yield mix((h[a:b] * KEYS[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
                 else:
@@ -57,16 +62,19 @@ def node_of(x: np.ndarray) -> int:
 class Slices:
     """How sets are cut, by size. Sizes fall into classes such that linked sets are of the same or neighbouring
     classes; a scheme serves the pairs whose larger set is of its class, and cuts both into one slice more than their
-    columns can differ in, and `spare` ones, so that a set may leave out as many empty slices."""
+    columns can differ in, and `spare` ones. So a set may leave out up to `spare` slices that are idle: that have no
+    columns but common ones. Which slices are idle depends on their columns alone, so two sets that agree in a slice
+    both leave it out or neither does."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent, self.bounds = percent, [1, 2]
+        self.common = np.empty(0, np.uint64) if common is None else common
 
     def scheme(self, s: int) -> tuple[int, int]:
         """Slices, and spare ones among them."""
         largest, smallest = self.bounds[s + 1] - 1, self.bounds[max(0, s - 1)]
         need = 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
-        spare = 1 + int(2 * need * np.exp(-smallest / need)) if need > 1 else 0
+        spare = 1 + need // 8 + int(2 * need * np.exp(-smallest / need)) if need > 1 else 0
         return need + spare, spare
 
     def class_of(self, size: int) -> int:
@@ -79,18 +87,63 @@ class Slices:
         """Of a sorted set: a hash of each slice's columns, for the schemes of its class and the next."""
         own, out = self.class_of(len(x)), []
         unit, value = (x >> np.uint64(11)).astype(np.float64) / (1 << 53), mix(x ^ KEYS[62])
+        at = np.searchsorted(self.common, x)
+        at[at == len(self.common)] = 0
+        rare = (self.common[at] != x).astype(np.int64) if len(self.common) else np.ones(len(x), np.int64)
         for s in (own, own + 1):
             n, spare = self.scheme(s)
             part = (unit * n).astype(np.int64)
             at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
             tag = (np.uint64(s) << np.uint64(32)) + part[at].astype(np.uint64)
-            out.append(mix(np.add.reduceat(value, at) + tag * KEYS[63]))
-            if n - len(at) > spare:
+            made, idle = mix(np.add.reduceat(value, at) + tag * KEYS[63]), np.add.reduceat(rare, at) == 0
+            if n - len(at) + int(idle.sum()) <= spare:
+                out.append(made[~idle])
+            else:
                 empty = np.setdiff1d(np.arange(n), part[at]).astype(np.uint64)
-                out.append(mix(((np.uint64(s) << np.uint64(32)) + empty) * KEYS[59]))
+                out += [made, mix(((np.uint64(s) << np.uint64(32)) + empty) * KEYS[59])]
         return np.concatenate(out)
 
 
+def common_shingles(docs: DataFrame, n: int, held: int = 1 << 21, distance: int = 16, least: int = 3, most: int = 1 << 17) -> np.ndarray:
+    """Shingles of passages that stand in many surroundings, sorted: those followed, `distance` words on, by the most
+    different shingles. Copies of one text don't make their shingles common. Every document counts; the number that is
+    kept is bounded, and any choice gives the same links: it only decides which candidates are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, got, size = Shingler(n), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            here, there = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            pairs = np.sort(mix(here) & ~np.uint64(0xFFFF) | mix(there) & np.uint64(0xFFFF))  # a shingle by 48 bits, what follows by 16
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] >> np.uint64(16)
+            heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            count = np.diff(np.concatenate([heads, [len(pairs)]]))
+            many = count >= least
+            if many.any():
+                keys, number = pairs[heads][many], count[many]
+                mine = np.unique(here)
+                place = np.searchsorted(keys, mixed := mix(mine) >> np.uint64(16))
+                place[place == len(keys)] = 0
+                known = keys[place] == mixed
+                yield pa.record_batch({"shingle": pa.array(mine[known].view(np.int64)), "n": pa.array(number[place[known]].astype(np.int64))})
+
+        for batch in batches:
+            for ordered in shingler.sequences(batch.column("text")):
+                if len(ordered) > distance:
+                    got.append((ordered[:-distance], ordered[distance:]))
+                    size += len(ordered)
+                    if size > held:
+                        yield from flush()
+                        size = 0
+        if got:
+            yield from flush()
+
+    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(most).collect()
+    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+
+
 def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id (an order id), n_shingles, size class and node of every row; node is null for an empty set."""
 
@@ -107,9 +160,10 @@ def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20) -> DataFrame:
     """Links a, b between sets that agree in a slice, a star for each slice's group: rows of the input tasks are
     grouped before the shuffle, so a group comes as a row of each task."""
+    common = common_shingles(docs, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, slices, got, size = Shingler(n), Slices(percent), [], 0
+        shingler, slices, got, size = Shingler(n), Slices(percent, common), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not got:

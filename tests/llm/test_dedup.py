@@ -174,7 +174,8 @@ def test_linked_sets_share_a_signature(percent):
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(1 << 62, size=put, dtype=np.uint64) * np.uint64(4)]))
         both = len(np.intersect1d(a, b))
         if both and 100 * both >= percent * (len(a) + len(b) - both):
-            assert np.intersect1d(Slices(percent).signatures(a), Slices(percent).signatures(b)).size
+            for common in (None, np.sort(rng.choice(a, len(a) // 3, False)), np.union1d(a, b)):
+                assert np.intersect1d(Slices(percent, common).signatures(a), Slices(percent, common).signatures(b)).size
             assert list(linked([a], [b], percent, False, columns=7)) == [(0, 0)]
         else:
             assert list(linked([a], [b], percent, False)) == []
