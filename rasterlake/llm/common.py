@@ -6,6 +6,8 @@ megabytes, and every step below is a numpy pass over a chunk, so that no Python
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 NULL_ID = (1 << 63) - 1
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -42,7 +44,7 @@ class Powers:
 
     def reach(self, n: int) -> "Powers":
         if len(self.up) < n:
-            n = max(n, 1 << 16, 2 * len(self.up))
+            n = max(1 << 16, 1 << (n - 1).bit_length())
             for name, b in (("up", self.base), ("down", self.inverse)):
                 table = np.full(n, b, np.uint64)
                 table[0] = 1
@@ -93,6 +95,13 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker process lives on, and others need it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def alphabet(*ranges: tuple[int, int]) -> np.ndarray:
@@ -160,12 +169,18 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of 16 MB at most: texts differ in length, and a worker holds a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it does not run df's plan again, whatever executors are lost.
 
     Its shuffle files go once it is written; nothing runs its plan again.
     """
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -184,7 +199,7 @@ def discard(df: DataFrame) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def order_id(column: str | Column = "doc_id") -> Column:

@@ -104,7 +104,7 @@ class Slices:
         return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, n: int, held: int = 1 << 21, distance: int = 16, least: int = 3, most: int = 1 << 17) -> np.ndarray:
+def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int = 16, least: int = 3, most: int = 1 << 17) -> np.ndarray:
     """Shingles of passages that stand in many surroundings, sorted: those followed, `distance` words on, by the most
     different shingles. Copies of one text don't make their shingles common. Every document counts; the number that is
     kept is bounded, and any choice gives the same links: it only decides which candidates are looked at."""
@@ -157,7 +157,7 @@ def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select(order_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class int, node long")
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20) -> DataFrame:
+def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19) -> DataFrame:
     """Links a, b between sets that agree in a slice, a star for each slice's group: rows of the input tasks are
     grouped before the shuffle, so a group comes as a row of each task."""
     common = common_shingles(docs, n)

@@ -46,7 +46,7 @@ BLOCK = "shard int, block int, doc_ids binary, counts binary, control binary, da
 class Encoder:
     """Encodes whole texts. A piece is encoded once, whatever the case of A-Z, and found again by its 64-bit hash."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
         enc, shard, block = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in chunks(batch.column("text"), 8 * block_ids):
+            for a, b, data, offsets in chunks(batch.column("text"), 4 * block_ids):
                 ids, counts = with_end(*enc.encode(data, offsets), end_id)
                 control, payload = pack(ids)
                 yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([doc_ids[a:b].astype("<i8").tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u8").tobytes()], pa.binary()), "control": pa.array([control], pa.binary()), "data": pa.array([payload], pa.binary()), "n_tokens": pa.array([len(ids)], pa.int64())})
