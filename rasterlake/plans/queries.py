@@ -39,6 +39,11 @@ def r6(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
 
+def r12(x: str) -> str:
+    """For means of short decimals, whose sixth may be a tie."""
+    return f"round({x}, 12) + 0.0"
+
+
 def r8(x: str) -> str:
     """For values of seven decimals, whose sixth would be a tie."""
     return f"round({x}, 8) + 0.0"
@@ -325,24 +330,24 @@ def resample_bilinear(spark, sf_dir):
     return rounded(resample.bilinear(V.dem(spark, sf_dir), target, "elev", 2.5), 8)
 
 
-@query(f"""SELECT ("row" // 7)::INT AS "row", (col // 7)::INT AS col, {r6("avg(b04)")} AS b04, {r6("avg(b08)")} AS b08 FROM vr_s2 GROUP BY 1, 2""")
+@query(f"""SELECT ("row" // 7)::INT AS "row", (col // 7)::INT AS col, {r12("avg(b04)")} AS b04, {r12("avg(b08)")} AS b08 FROM vr_s2 GROUP BY 1, 2""")
 def aggregate_coarse(spark, sf_dir):
     """J5"""
-    return rounded(resample.coarsen(V.s2(spark, sf_dir), 7, ["b04", "b08"]))
+    return rounded(resample.coarsen(V.s2(spark, sf_dir), 7, ["b04", "b08"]), 12)
 
 
-@query(f"""WITH e AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM vr_s2) SELECT ("row" // 8)::INT AS "row", (col // 8)::INT AS col, {r6("avg(b11)")} AS b11 FROM vr_s2, e WHERE "row" < h - h % 8 AND col < w - w % 8 GROUP BY 1, 2""")
+@query(f"""WITH e AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM vr_s2) SELECT ("row" // 8)::INT AS "row", (col // 8)::INT AS col, {r12("avg(b11)")} AS b11 FROM vr_s2, e WHERE "row" < h - h % 8 AND col < w - w % 8 GROUP BY 1, 2""")
 def block_mean(spark, sf_dir):
     """A14"""
     s2 = V.s2(spark, sf_dir)
     e = s2.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
-    return rounded(resample.coarsen(s2.join(F.broadcast(e)), 8, ["b11"], F.col("h"), F.col("w")))
+    return rounded(resample.coarsen(s2.join(F.broadcast(e)), 8, ["b11"], F.col("h"), F.col("w")), 12)
 
 
-@query(" UNION ALL ".join(f"""SELECT {f} AS factor, ("row" // {f})::INT AS "row", (col // {f})::INT AS col, {r6("avg(b02)")} AS b02 FROM vr_s2 GROUP BY 2, 3""" for f in (2, 4, 8, 16)))
+@query(" UNION ALL ".join(f"""SELECT {f} AS factor, ("row" // {f})::INT AS "row", (col // {f})::INT AS col, {r12("avg(b02)")} AS b02 FROM vr_s2 GROUP BY 2, 3""" for f in (2, 4, 8, 16)))
 def overview_pyramid(spark, sf_dir):
     """K2"""
-    return rounded(resample.overviews(V.s2(spark, sf_dir), "b02"))
+    return rounded(resample.overviews(V.s2(spark, sf_dir), "b02"), 12)
 
 
 @query(f"""SELECT a."row", a.col, {r8("a.v")} AS power, b.label FROM (SELECT ("row" // 2)::INT AS "row", (col // 2)::INT AS col, avg(elev) AS v FROM vr_dem GROUP BY 1, 2) a JOIN (SELECT ("row" // 2)::INT AS "row", (col // 2)::INT AS col, CASE WHEN elev > 1200 THEN 1 ELSE 0 END AS label FROM vr_dem WHERE "row" % 2 = 1 AND col % 2 = 1) b ON a."row" = b."row" AND a.col = b.col""")
