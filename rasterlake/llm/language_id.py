@@ -21,8 +21,8 @@ UNDETERMINED = "und"
 def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256, most_languages: int = 64) -> dict[str, bytes]:
     """A dictionary for each of the most_languages most frequent labels of labelled (text, lang).
 
-    The sample is bounded: about docs_per_language texts a label (twice that at most), chosen by a hash of the text,
-    with `excerpt` characters from the middle of each.
+    The sample is bounded: at most docs_per_language texts a label, those with the smallest hashes of about 1.5 times as
+    many, with `excerpt` characters from the middle of each one's letters. No dictionary is cut to another's length.
     """
     texts = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
@@ -30,15 +30,15 @@ def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256,
         return {}
     chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * docs_per_language / r["n"])))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("double") / F.lit(float(1 << 20))
-    middle = F.greatest(F.lit(1), F.floor((F.length("text") - excerpt) / 2).cast("int"))
-    chosen = texts.where(draw < F.try_element_at(chance, "lang")).select("lang", F.xxhash64("text").alias("h"), F.substring("text", middle, F.lit(excerpt)).alias("part")).distinct()
-    kept = chosen.orderBy("h", "lang").limit(2 * docs_per_language * len(counts)).collect()
+    told = F.trim(F.regexp_replace("text", r"[\x00-@\[-`{-\x7F]+", " "))
+    middle = F.greatest(F.lit(1), F.floor((F.length("told") - excerpt) / 2).cast("int"))
+    chosen = texts.where(draw < F.try_element_at(chance, "lang")).select("lang", F.xxhash64("text").alias("h"), told.alias("told"))
+    kept = chosen.select("lang", "h", F.substring("told", middle, F.lit(excerpt)).alias("part")).distinct().collect()
     parts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
-    for r in kept:
-        parts[r["lang"]].append(letters(r["part"].encode()))
-    made = {lang: b" ".join(p) for lang, p in sorted(parts.items()) if p}
-    # equal lengths: a larger dictionary would win by its size
-    return {lang: d[: min(map(len, made.values()))] for lang, d in made.items()}
+    for r in sorted(kept, key=lambda r: r["h"]):
+        if len(parts[r["lang"]]) < docs_per_language:
+            parts[r["lang"]].append(letters(r["part"].encode()))
+    return {lang: b" ".join(p) for lang, p in sorted(parts.items()) if p}
 
 
 #: A-Z become a-z; other ASCII that is no letter becomes a space.
@@ -54,30 +54,66 @@ def letters(text: bytes) -> bytes:
 
 
 class Classifier:
-    """Short matches and a lazy parser: languages differ in syllables, which the usual levels pass over."""
+    """Short matches and a lazy parser: languages differ in syllables, which the usual levels pass over.
+
+    A larger dictionary would win by its size. So the total of a language whose dictionary has fewer characters than the
+    others' is scaled by what the missing text is worth on this very text to a language that it is not in: the full
+    total of the second best of the complete dictionaries over its total when cut to the short one's length. One too
+    short to tell anything (zstandard ignores less than 8 bytes) thus equals the second best, and never wins.
+    """
 
     def __init__(self, dictionaries: dict[str, bytes], block: int = 8192):
         import zstandard
 
-        self.languages, self.block = sorted(dictionaries), block
-        self.compressors = []
-        how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=16, search_log=5, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
-        for lang in self.languages:
-            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=how)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
+        self.block, self.made = block, {}
+        self.how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=16, search_log=5, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        chars = {lang: len(d.decode("utf-8", "replace")) for lang, d in dictionaries.items()}
+        longest = max(chars.values())
+        short = {lang: n for lang, n in chars.items() if n < longest * 15 / 16}
+        # complete ones come first, and so win ties
+        self.languages, self.dictionaries = sorted(dictionaries, key=lambda x: (x in short, x)), dictionaries
+        self.complete, self.chars = len(dictionaries) - len(short), short
+        self.compressors = [self.compressor(dictionaries[lang]) for lang in self.languages]
+
+    def compressor(self, dictionary: bytes):
+        import zstandard
+
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=self.how)
+        return zstandard.ZstdCompressor(dict_data=d, compression_params=self.how)
 
-    def sizes(self, text: bytes) -> list[int]:
+    def cut(self, lang: str, chars: int):
+        """A compressor with lang's first so many characters; some are held."""
+        if (lang, chars) not in self.made:
+            if len(self.made) >= 32:
+                self.made.pop(next(iter(self.made)))
+            self.made[lang, chars] = self.compressor(self.dictionaries[lang].decode("utf-8", "replace")[:chars].encode())
+        return self.made[lang, chars]
+
+    def parts(self, text: bytes) -> list[bytes]:
         text = letters(text)
         if len(text) < SHORT:
             text = PAD + text
-        parts = [text[i : i + self.block] for i in range(0, len(text), self.block)]
-        return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
+        return [text[i : i + self.block] for i in range(0, len(text), self.block)]
+
+    def sizes(self, text: bytes) -> list[float]:
+        parts = self.parts(text)
+        return self.fair(parts, [sum(len(c.compress(p)) for p in parts) for c in self.compressors])
+
+    def fair(self, parts: list[bytes], sizes: list[int]) -> list[float]:
+        """Totals as if all dictionaries were complete."""
+        if len(sizes) == self.complete or self.complete < 2:
+            return sizes
+        second = sorted(range(self.complete), key=lambda i: sizes[i])[1]
+        worth = {n: sizes[second] / sum(len(self.cut(self.languages[second], n).compress(p)) for p in parts) for n in set(self.chars.values())}
+        return sizes[: self.complete] + [s * min(1.0, worth[self.chars[lang]]) for lang, s in zip(self.languages[self.complete :], sizes[self.complete :])]
 
     def predict(self, text: bytes) -> tuple[str, float, float]:
         """The best language, its probability 2**-bytes tempered by 4, and the relative margin to the second."""
-        sizes = self.sizes(text)
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.languages[i]))
+        return self.told(self.sizes(text))
+
+    def told(self, sizes: list[float]) -> tuple[str, float, float]:
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
         score = 1.0 / sum(2.0 ** -min(1000.0, (s - best) / 4) for s in sizes)
         margin = (sizes[order[1]] - best) / sizes[order[1]] if len(order) > 1 else 1.0

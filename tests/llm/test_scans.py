@@ -40,6 +40,31 @@ def test_language_id_odd_rows(docs):
     assert predict(docs, {}, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+SPEECH = {"en": "the and with that which from have this were their would about there been could other people through water little after where world every great house between again before under right might against still never".split(), "de": "der und die nicht mit sich auch werden haben einer über nach wurde zwischen durch unter schon wieder gegen immer jahre deutschen während heute leben wasser menschen welt groß haus noch niemals".split(), "fr": "les des une dans pour que qui avec sur pas plus par mais leur cette être comme tout deux aussi après même entre encore toujours jamais monde vie eau maison petite grande contre sous depuis".split()}
+
+
+def spoken(lang, k, words=60):
+    rng = np.random.default_rng([k, *lang.encode()])
+    return " ".join(rng.choice(SPEECH[lang], words).tolist())
+
+
+def right(spark, labelled, langs):
+    """The share of new texts of langs that are told right and not as a tie, by what was learned from labelled."""
+    dictionaries = train(spark.createDataFrame(labelled, "text string, lang string"))
+    new = [(i * 100 + k, spoken(lang, 10_000 + k)) for i, lang in enumerate(langs) for k in range(20)]
+    got = predict(spark.createDataFrame(new, "doc_id long, text string"), dictionaries, ["doc_id"], min_margin=0.0).collect()
+    return np.mean([r["lang_pred"] == langs[r["doc_id"] // 100] and not r["rejected"] for r in got])
+
+
+def test_short_labels_leave_other_languages_alone(spark):
+    full = [(spoken(lang, k), lang) for lang in ("en", "de") for k in range(80)]
+    digits = "word " + "7" * 900 + " word"
+    assert right(spark, [*full, ("ok", "aa"), (digits, "ab")], ["en", "de"]) == 1
+    # a rare label of a few hundred bytes is told, and takes no other's documents
+    assert right(spark, [*full, (spoken("fr", 1), "fr")], ["en", "de", "fr"]) > 0.95
+    assert sorted(train(spark.createDataFrame([*full, (digits, "ab")], "text string, lang string"))) == ["ab", "de", "en"]
+
+
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     hits = [(i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
