@@ -21,18 +21,20 @@ UNDETERMINED = "und"
 def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256, most_languages: int = 64) -> dict[str, bytes]:
     """A dictionary for each of the most_languages most frequent labels of labelled (text, lang).
 
-    The sample is bounded: at most docs_per_language texts a label, those with the smallest hashes of about 1.5 times as
-    many, with `excerpt` characters from the middle of each one's letters. No dictionary is cut to another's length.
+    The sample is bounded: at most docs_per_language texts a label, those with the smallest hashes of about twice as
+    many, with `excerpt` characters from the middle of each one's letters. Copies of a text count once. No dictionary
+    is cut to another's length.
     """
     texts = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    counts = texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return {}
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * docs_per_language / r["n"])))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("double") / F.lit(float(1 << 20))
+    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * docs_per_language / max(1, r["n"]))))])
+    draw = F.pmod("h", F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
     told = F.trim(F.regexp_replace("text", r"[\x00-@\[-`{-\x7F]+", " "))
     middle = F.greatest(F.lit(1), F.floor((F.length("told") - excerpt) / 2).cast("int"))
-    chosen = texts.where(draw < F.try_element_at(chance, "lang")).select("lang", F.xxhash64("text").alias("h"), told.alias("told"))
+    chosen = texts.where(draw < F.try_element_at(chance, "lang")).select("lang", "h", told.alias("told"))
     kept = chosen.select("lang", "h", F.substring("told", middle, F.lit(excerpt)).alias("part")).distinct().collect()
     parts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(kept, key=lambda r: r["h"]):

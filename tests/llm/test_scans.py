@@ -65,6 +65,15 @@ def test_short_labels_leave_other_languages_alone(spark):
     assert sorted(train(spark.createDataFrame([*full, (digits, "ab")], "text string, lang string"))) == ["ab", "de", "en"]
 
 
+def test_copies_do_not_thin_a_sample(spark):
+    texts = [(spoken(lang, k), lang) for lang in ("en", "de") for k in range(150)]
+    labelled = spark.createDataFrame(texts, "text string, lang string")
+    copies = spark.createDataFrame([(spoken("de", 999), "de")], "text string, lang string").crossJoin(spark.range(100_000)).drop("id")
+    with_copies, without = train(labelled.union(copies)), train(labelled)
+    assert sorted(with_copies) == ["de", "en"] and with_copies["en"] == without["en"]
+    assert all(len(d) > 64 * 250 for d in with_copies.values())
+
+
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     hits = [(i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
