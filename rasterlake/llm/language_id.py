@@ -7,6 +7,7 @@ margin, the text is rejected. Blocks keep a long text from becoming its own dict
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,8 @@ from .common import utf8
 UNDETERMINED = "und"
 
 
-def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256, most_languages: int = 64) -> dict[str, bytes]:
-    """A dictionary for each of the most_languages most frequent labels of labelled (text, lang).
+def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256) -> dict[str, bytes]:
+    """A dictionary for every label of labelled (text, lang).
 
     The sample is bounded: at most docs_per_language texts a label, those with the smallest hashes of about twice as
     many, with `excerpt` characters from the middle of each one's letters. Copies of a text count once. No dictionary
@@ -27,14 +28,15 @@ def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256,
     """
     texts = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     texts = texts.withColumn("h", F.xxhash64("text"))
-    counts = texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a label
     if not counts:
         return {}
-    chance = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * docs_per_language / max(1, r["n"]))))])
+    chance = [(r["lang"], min(1.0, 2.0 * docs_per_language / max(1, r["n"]))) for r in counts]
+    chance = labelled.sparkSession.createDataFrame(chance, "lang string, chance double")
     draw = F.pmod("h", F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
     told = F.trim(F.regexp_replace("text", r"[\x00-@\[-`{-\x7F]+", " "))
     middle = F.greatest(F.lit(1), F.floor((F.length("told") - excerpt) / 2).cast("int"))
-    chosen = texts.where(draw < F.try_element_at(chance, "lang")).select("lang", "h", told.alias("told"))
+    chosen = texts.join(F.broadcast(chance), "lang").where(draw < F.col("chance")).select("lang", "h", told.alias("told"))
     kept = chosen.select("lang", "h", F.substring("told", middle, F.lit(excerpt)).alias("part")).distinct().collect()
     parts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(kept, key=lambda r: r["h"]):
@@ -62,20 +64,28 @@ class Classifier:
     others' is scaled by what the missing text is worth on this very text to a language that it is not in: the full
     total of the second best of the complete dictionaries over its total when cut to the short one's length. One too
     short to tell anything (zstandard ignores less than 8 bytes) thus equals the second best, and never wins.
+
+    More than `held` languages go in blocks of that many, one after the other over some texts: a compressor takes
+    over a megabyte.
     """
 
-    def __init__(self, dictionaries: dict[str, bytes], block: int = 8192):
+    def __init__(self, dictionaries: dict[str, bytes], block: int = 8192, held: int = 64):
         import zstandard
 
-        self.block, self.made = block, {}
+        self.block, self.held, self.made = block, held, {}
         self.how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=16, search_log=5, min_match=3, target_length=16, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
         chars = {lang: len(d.decode("utf-8", "replace")) for lang, d in dictionaries.items()}
         longest = max(chars.values())
-        short = {lang: n for lang, n in chars.items() if n < longest * 15 / 16}
+        # lengths in steps of a half octave, upwards: few totals are needed
+        short = {lang: math.ceil(2 ** (math.ceil(2 * math.log2(n)) / 2)) for lang, n in chars.items() if n < longest * 15 / 16}
         # complete ones come first, and so win ties
         self.languages, self.dictionaries = sorted(dictionaries, key=lambda x: (x in short, x)), dictionaries
         self.complete, self.chars = len(dictionaries) - len(short), short
-        self.compressors = [self.compressor(dictionaries[lang]) for lang in self.languages]
+        self.compressors = self.loaded(0) if len(self.languages) <= held else None
+
+    def loaded(self, at: int) -> list:
+        """The compressors of a block of languages."""
+        return [self.compressor(self.dictionaries[lang]) for lang in self.languages[at : at + self.held]]
 
     def compressor(self, dictionary: bytes):
         import zstandard
@@ -87,7 +97,7 @@ class Classifier:
     def cut(self, lang: str, chars: int):
         """A compressor with lang's first so many characters; some are held."""
         if (lang, chars) not in self.made:
-            if len(self.made) >= 32:
+            if len(self.made) >= self.held:
                 self.made.pop(next(iter(self.made)))
             self.made[lang, chars] = self.compressor(self.dictionaries[lang].decode("utf-8", "replace")[:chars].encode())
         return self.made[lang, chars]
@@ -98,9 +108,15 @@ class Classifier:
             text = PAD + text
         return [text[i : i + self.block] for i in range(0, len(text), self.block)]
 
-    def sizes(self, text: bytes) -> list[float]:
-        parts = self.parts(text)
-        return self.fair(parts, [sum(len(c.compress(p)) for p in parts) for c in self.compressors])
+    def sizes(self, texts: list[bytes]) -> list[list[float]]:
+        """Each text's totals, language by language."""
+        parts = [self.parts(text) for text in texts]
+        totals: list[list[int]] = [[] for _ in texts]
+        for at in range(0, len(self.languages), self.held):
+            compressors = self.compressors or self.loaded(at)
+            for p, t in zip(parts, totals):
+                t += [sum(len(c.compress(x)) for x in p) for c in compressors]
+        return [self.fair(p, t) for p, t in zip(parts, totals)]
 
     def fair(self, parts: list[bytes], sizes: list[int]) -> list[float]:
         """Totals as if all dictionaries were complete."""
@@ -110,9 +126,9 @@ class Classifier:
         worth = {n: sizes[second] / sum(len(self.cut(self.languages[second], n).compress(p)) for p in parts) for n in set(self.chars.values())}
         return sizes[: self.complete] + [s * min(1.0, worth[self.chars[lang]]) for lang, s in zip(self.languages[self.complete :], sizes[self.complete :])]
 
-    def predict(self, text: bytes) -> tuple[str, float, float]:
-        """The best language, its probability 2**-bytes tempered by 4, and the relative margin to the second."""
-        return self.told(self.sizes(text))
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
+        """Of each text: the best language, its probability 2**-bytes tempered by 4, and the relative margin to the second."""
+        return [self.told(sizes) for sizes in self.sizes(texts)]
 
     def told(self, sizes: list[float]) -> tuple[str, float, float]:
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
@@ -139,14 +155,15 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], mi
         letter, model = regex.compile(r"\p{L}"), Classifier(dictionaries) if dictionaries else None
         for batch in batches:
             data, offsets = utf8(batch.column("_text"))
-            whole, rows = data.tobytes(), []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                text = whole[a:b]
-                if model is None or not letter.search(text.decode("utf-8", "replace")):
-                    rows.append((UNDETERMINED, 0.0, 0.0, True))
-                    continue
-                lang, score, margin = model.predict(text)
-                rows.append((lang, score, margin, margin <= min_margin))
+            whole, spans = data.tobytes(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            rows = [(UNDETERMINED, 0.0, 0.0, True)] * len(spans)
+            told = [i for i, (a, b) in enumerate(spans) if model and letter.search(whole[a:b].decode("utf-8", "replace"))]
+            # blocks of languages are loaded anew for each lot of texts
+            step = 1 if model and model.compressors else 1024
+            for at in range(0, len(told), step):
+                some = told[at : at + step]
+                for i, (lang, score, margin) in zip(some, model.predict([whole[slice(*spans[i])] for i in some])):
+                    rows[i] = (lang, score, margin, margin <= min_margin)
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             n = len(keep)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + made, names=[*keep, "lang_pred", "score", "margin", "rejected"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.llm import queries as Q
 from rasterlake.llm.decontaminate import decontaminate, find_leaks
-from rasterlake.llm.language_id import predict, train
+from rasterlake.llm.language_id import Classifier, predict, train
 from rasterlake.llm.license_scan import PHRASES, SuffixAutomaton, license_scan
 from rasterlake.llm.mixing import mix, targets
 from rasterlake.llm.sharding import Shard, descend, layout, place
@@ -74,6 +74,20 @@ def test_copies_do_not_thin_a_sample(spark):
     assert all(len(d) > 64 * 250 for d in with_copies.values())
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(8)
+    speech = {f"l{i:02d}": ["".join(rng.choice(list("abcdefghijklmnoprstuvz"), rng.integers(3, 9))) for _ in range(40)] for i in range(70)}
+    said = lambda lang, k: " ".join(np.random.default_rng([k, *lang.encode()]).choice(speech[lang], 40).tolist())
+    labelled = [(said(lang, k), lang) for i, lang in enumerate(speech) for k in range(12 if i < 64 else 11)]
+    dictionaries = train(spark.createDataFrame(labelled, "text string, lang string"))
+    assert sorted(dictionaries) == sorted(speech)
+    new = spark.createDataFrame([(i, said(lang, 99)) for i, lang in enumerate(speech)], "doc_id long, text string")
+    got = predict(new, dictionaries, ["doc_id"], min_margin=0.0).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == list(speech)
+    texts = [said(lang, 99).encode() for lang in speech]
+    assert Classifier(dictionaries, held=9).sizes(texts) == Classifier(dictionaries, held=99).sizes(texts)
+
+
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     hits = [(i, label) for phrase, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
