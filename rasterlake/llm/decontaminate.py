@@ -1,15 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become templates: numbers, names (capitalised words inside a sentence) and units after a number are replaced by
-typed placeholders. Windows of canonical words of the benchmark are hash-joined with those of all documents. Where a
-document has enough of an item's windows, the words are aligned and the slots are compared: equal fillers are an exact
-leak, fillers that differ but map one to one a re-parameterised one, anything else is not the item.
+Words become templates: numbers, names (capitalised words but function words, wherever they stand) and units after a
+number are replaced by typed placeholders, runs of names and the groups of a number by one. Windows of canonical words
+of the benchmark are hash-joined with those of all documents, and so are windows of its words as they are but for case.
+Where a document has some of an item's windows, the words are aligned and the slots are compared: equal fillers are an
+exact leak, fillers that differ but map one to one a re-parameterised one, anything else is not the item.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +24,50 @@ from .common import PLAIN, Powers, alphabet, byte_table, chunks, mix, ranges, wo
 #: Unit names that are placeholders after a number.
 UNITS = "mm cm m km g kg t ml l s ms min h hours minutes seconds days weeks years mph kmh hz khz mhz ghz kb mb gb tb w kw v a c f k usd eur dollars euros cents percent miles feet inches pounds metres meters litres liters grams".split()
 
-DIGITS, UPPER, BLANK = alphabet((0x30, 0x39)), alphabet((0x41, 0x5A)), alphabet((0x20, 0x20), (0x09, 0x0D))
-ENDS = alphabet((0x21, 0x21), (0x2E, 0x2E), (0x3A, 0x3A), (0x3F, 0x3F), (0x0A, 0x0A))
+#: Words that are no names when they open a sentence.
+FUNCTION = """a about after all although an and another any are as assume at because before between both but by calculate can compute consider could
+ did do does during each either every few find for from given had has have he her here his how i if in into is it its let many may more most my no not
+ of on once one or our over she should show since so solve some such suppose than that the their them then there these they this those to two under
+ until was we were what when where which while who whom whose why will with would yes you your""".split()
+
+DIGITS, UPPER = alphabet((0x30, 0x39)), alphabet((0x41, 0x5A))
+GROUPS = alphabet((0x2C, 0x2C), (0x2E, 0x2E))
 NUMBER, NAME, UNIT = (np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in (1, 3, 5))
 
 
+class Words(NamedTuple):
+    """A chunk's words, or its folded ones: canonical and literal hash, each document's first, and each one's first word."""
+
+    canonical: np.ndarray
+    literal: np.ndarray
+    first: np.ndarray
+    word: np.ndarray
+
+
 class Canonical:
     """Words of a chunk of documents as canonical and literal hashes."""
 
     def __init__(self):
         self.powers, self.table = Powers(61), byte_table(62, lower=True)
-        joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+        self.units, self.function = self.known(UNITS), self.known(FUNCTION)
+
+    def known(self, some: list[str]) -> np.ndarray:
+        joined = np.frombuffer(" ".join(some).encode(), np.uint8)
         s, e, _ = words(joined, np.array([0, len(joined)]), PLAIN)
-        self.units = np.sort(word_hashes(joined, s, e, self.table, self.powers))
+        return np.sort(word_hashes(joined, s, e, self.table, self.powers))
+
+    @staticmethod
+    def among(literal: np.ndarray, known: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, literal)
+        at[at == len(known)] = 0
+        return known[at] == literal
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Canonical hash and literal hash of each word, and each document's first word."""
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, Words]:
+        """The words as they are, and with runs of names and the groups of a number folded into one."""
         starts, ends, first = words(data, offsets, PLAIN)
         if not len(starts):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), first
+            none = Words(np.empty(0, np.uint64), np.empty(0, np.uint64), first, np.empty(0, np.int64))
+            return none, none
         literal = word_hashes(data, starts, ends, self.table, self.powers)
         digits = np.concatenate([[0], np.cumsum(DIGITS[data])])
         number = digits[ends] - digits[starts] == ends - starts
@@ -47,17 +75,21 @@ class Canonical:
         begins[first] = True
         begins = begins[:-1]
         after = np.concatenate([[False], number[:-1]]) & ~begins
-        at = np.searchsorted(self.units, literal)
-        at[at == len(self.units)] = 0
-        unit = after & (self.units[at] == literal)
-        # a capital, or a two-byte capital of the Latin-1 letters, unless a sentence ends before the word
+        unit = after & self.among(literal, self.units)
+        # a capital, or a two-byte capital of the Latin-1 letters
         lead, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
         capital = UPPER[lead] | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-        stops = np.concatenate([[0], np.cumsum(ENDS[data])])
-        previous = np.concatenate([[0], ends[:-1]])
-        name = capital & ~begins & (stops[starts] == stops[previous])
+        name = capital & ~unit & ~self.among(literal, self.function)
         canonical = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, literal)))
-        return canonical, literal, first
+        between = data[ends[:-1]] if len(starts) > 1 else np.empty(0, np.uint8)
+        run = (starts[1:] == ends[:-1] + 1) & ~begins[1:]
+        run &= (name[1:] & name[:-1] & (between == 0x20)) | (number[1:] & number[:-1] & GROUPS[between])
+        heads = np.flatnonzero(np.concatenate([[True], ~run]))
+        sizes = np.diff(np.concatenate([heads, [len(starts)]]))
+        place = (np.arange(len(starts)) - np.repeat(heads, sizes)).astype(np.uint64)
+        whole = np.add.reduceat(mix(literal + place * np.uint64(0x9E3779B97F4A7C15)), heads)
+        folded = Words(canonical[heads], np.where(sizes > 1, whole, literal[heads]), np.searchsorted(heads, first), heads)
+        return Words(canonical, literal, first, np.arange(len(starts))), folded
 
 
 def windows(canonical: np.ndarray, n: int) -> np.ndarray:
@@ -68,30 +100,35 @@ def windows(canonical: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-class Block:
-    """A block of benchmark items: their canonical windows as a sorted table."""
+class Table:
+    """Windows of items' words, canonical or literal, sorted; equal lengths together."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, shortest: int):
-        self.canon, self.items, self.tables = Canonical(), [], {}
-        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            canonical, literal, _ = self.canon.words(raw, np.array([0, len(raw)]))
-            n = min(window, len(canonical))
-            if n < shortest:
-                continue
-            found[n].append((windows(canonical, n), len(self.items)))
-            self.items.append((item_id, canonical, literal, n))
-        for n, rows in found.items():
+    def __init__(self, literal: bool):
+        self.literal, self.items, self.tables = literal, [], {}
+        self.found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+
+    def compared(self, x: Words) -> np.ndarray:
+        return x.literal if self.literal else x.canonical
+
+    def add(self, number: int, own: Words, window: int, shortest: int) -> None:
+        n = min(window, len(own.literal))
+        if n >= shortest:
+            self.found[n].append((windows(self.compared(own), n), len(self.items)))
+            self.items.append((number, own, n))
+
+    def close(self) -> None:
+        for n, rows in self.found.items():
             h = np.concatenate([x for x, _ in rows])
             item, place = np.concatenate([np.full(len(x), i) for x, i in rows]), np.concatenate([np.arange(len(x)) for x, _ in rows])
             order = np.argsort(h, kind="stable")
             self.tables[n] = (h[order], item[order], place[order])
+        self.found.clear()
 
-    def leaks(self, canonical: np.ndarray, literal: np.ndarray, first: np.ndarray, cover: float) -> Iterator[tuple]:
-        """(document, item id, windows, coverage, slots, changed slots, kind, first word, end word) of a chunk's leaks."""
+    def leaks(self, text: Words, cover: float) -> Iterator[tuple]:
+        """(document, item's number, windows, coverage, slots, changed slots, kind, first word, end word) of a chunk's leaks."""
+        first = text.first
         for n, (table, item, place) in self.tables.items():
-            h = windows(canonical, n)
+            h = windows(self.compared(text), n)
             low = np.searchsorted(table, h)
             low[low == len(table)] = 0
             at = np.flatnonzero(table[low] == h)
@@ -108,33 +145,53 @@ class Block:
             heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (which[1:] != which[:-1])]))
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(doc)]):
                 d, i = int(doc[a]), int(which[a])
-                got = self.aligned(i, at[a:b], where[a:b], canonical, literal, int(first[d]), cover)
+                got = self.aligned(i, at[a:b], where[a:b], text, int(first[d]), int(first[d + 1]), cover)
                 if got:
                     yield d, self.items[i][0], *got
 
-    def aligned(self, i: int, at: np.ndarray, where: np.ndarray, canonical: np.ndarray, literal: np.ndarray, begin: int, cover: float) -> tuple | None:
-        item_id, own_canonical, own_literal, n = self.items[i]
-        total = len(own_canonical) - n + 1
-        if len(set(where.tolist())) < cover * total:
-            return None
+    def aligned(self, i: int, at: np.ndarray, where: np.ndarray, text: Words, begin: int, end: int, cover: float) -> tuple | None:
+        _, own, n = self.items[i]
+        theirs, ours = self.compared(text), self.compared(own)
+        size = len(ours)
+        total = size - n + 1
         # places of the item: hits whose offset from the item's beginning stays within half of the item
         offset = at - where
         order = np.argsort(offset, kind="stable")
         at, where, offset = at[order], where[order], offset[order]
-        slack, best = max(2, len(own_canonical) // 4), None
+        slack, best = max(2, size // 4), None
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(offset) > slack) + 1, [len(offset)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             seen = len(set(where[a:b].tolist()))
-            if seen >= cover * total:
-                kind = self.slots(at[a:b], where[a:b], n, canonical, literal, own_canonical, own_literal)
-                if kind and (best is None or (kind[2] != "exact", -seen) < best[0]):
-                    best = ((kind[2] != "exact", -seen), (seen, seen / total, *kind, int(at[a:b].min()) - begin, int(at[a:b].max()) + n - begin))
+            pairs = {(j + k, w + k) for j, w in zip(at[a:b].tolist(), where[a:b].tolist()) for k in range(n)}
+            # the words that no window holds go by the offset of the nearest that one holds
+            held = {w: j for j, w in sorted(pairs, reverse=True)}
+            near, gone = sorted(held), []
+            for w in range(size):
+                if w not in held:
+                    k = bisect_left(near, w)
+                    to = min(near[max(0, k - 1) : k + 1], key=lambda x: abs(x - w))
+                    j = w + held[to] - to
+                    if begin <= j < end and theirs[j] == ours[w]:
+                        pairs.add((j, w))
+                    else:
+                        gone.append((j if begin <= j < end else None, w))
+            if seen < cover * total and size - len(gone) < (1 + cover) / 2 * size:
+                continue
+            # another filler is for the canonical words to judge
+            if self.literal and any(own.canonical[w] != own.literal[w] and j is not None and text.canonical[j] == own.canonical[w] for j, w in gone):
+                continue
+            kind = (0, 0, "exact") if self.literal else self.slots(sorted(pairs), text.canonical, text.literal, own.canonical, own.literal)
+            share = max(seen / total, 1 - len(gone) / size)
+            if kind and (best is None or (kind[2] != "exact", -share) < best[0]):
+                low, high = min(pairs)[0], max(pairs)[0]
+                base = int(text.word[begin])
+                last = int(text.word[high + 1]) if high + 1 < len(text.word) else int(text.word[high]) + 1
+                best = ((kind[2] != "exact", -share), (seen, share, *kind, int(text.word[low]) - base, last - base))
         return best and best[1]
 
     @staticmethod
-    def slots(at, where, n, canonical, literal, own_canonical, own_literal) -> tuple[int, int, str] | None:
+    def slots(pairs, canonical, literal, own_canonical, own_literal) -> tuple[int, int, str] | None:
         """Slots, changed slots, and `exact` or `reparameterised`; None if fillers contradict each other or few plain words are equal."""
-        pairs = sorted({(j + k, w + k) for j, w in zip(at.tolist(), where.tolist()) for k in range(n)})
         is_slot = lambda w: own_canonical[w] != own_literal[w]
         slots = [(int(own_canonical[w]), int(own_literal[w]), int(literal[j])) for j, w in pairs if is_slot(w)]
         plain = len(pairs) - len(slots)
@@ -151,6 +208,30 @@ class Block:
         return (len(slots), changed, "reparameterised") if agree >= 1.6 * len(slots) else None
 
 
+class Block:
+    """A block of benchmark items: windows of their words as they are, and of their folded canonical words."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int, shortest: int):
+        self.canon, self.ids = Canonical(), [i for i, _ in items]
+        self.plain, self.folded = Table(literal=True), Table(literal=False)
+        for number, (_, text) in enumerate(items):
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            for table, own in zip((self.plain, self.folded), self.canon.words(raw, np.array([0, len(raw)]))):
+                table.add(number, own, window, shortest)
+        self.plain.close()
+        self.folded.close()
+
+    def leaks(self, data: np.ndarray, offsets: np.ndarray, cover: float) -> Iterator[tuple]:
+        """(document, item id, windows, coverage, slots, changed slots, kind, first word, end word): a chunk's leaks, a pair of document and item once."""
+        plain, folded = self.canon.words(data, offsets)
+        found = {}
+        for row in (*self.folded.leaks(folded, cover), *self.plain.leaks(plain, cover)):
+            if row[:2] not in found or (found[row[:2]][6], row[6]) == ("reparameterised", "exact"):
+                found[row[:2]] = row
+        for (d, number), row in found.items():
+            yield d, self.ids[number], *row[2:]
+
+
 LEAKS = "doc_id long, item_id long, n_windows long, coverage double, n_slots long, n_changed long, kind string, first_word long, end_word long"
 
 
@@ -167,8 +248,9 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tu
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, cover: float = 0.8, shortest: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """Documents that hold a benchmark item: a row for each of their pairs.
 
-    An item counts as held if windows of `window` canonical words cover at least `cover` of its windows near one place
-    of the document, with consistent slots. Items of fewer words have one window of all their words, those of fewer
+    An item counts as held if near one place of the document at least `cover` of its windows of `window` words stand, or
+    a window does and half of what `cover` leaves at most of the words aligned with it differ; in either case as words
+    or as canonical words with consistent slots. Items of fewer words have one window of all their words, those of fewer
     than `shortest` words none. Null or empty texts on either side match nothing; items with equal ids and texts count
     once; an empty benchmark gives an empty result. The benchmark is the query set: it is scanned for in blocks.
     """
@@ -180,8 +262,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, cover: fl
             for batch in batches:
                 rows, ids = [], batch.column("doc_id")
                 for a, _, data, offsets in chunks(batch.column("text")):
-                    canonical, literal, first = block.canon.words(data, offsets)
-                    rows += [(a + d, *x) for d, *x in block.leaks(canonical, literal, first, cover)]
+                    rows += [(a + d, *x) for d, *x in block.leaks(data, offsets, cover)]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[i + 1] for r in rows], k) for i, k in enumerate(kinds))], names=[x.split()[0] for x in LEAKS.split(", ")])
@@ -200,7 +281,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 5, cover:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for a, _, data, offsets in chunks(batch.column("text")):
-                    for d, *_ in block.leaks(*block.canon.words(data, offsets), cover):
+                    for d, *_ in block.leaks(data, offsets, cover):
                         clean[a + d] = False
                 yield batch if clean.all() else batch.filter(pa.array(clean))
 

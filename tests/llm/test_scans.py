@@ -145,6 +145,16 @@ def test_leaks(spark):
     assert find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_other_surroundings(spark):
+    sum_ = "Maria has 12 apples in the old red basket. Maria gives 5 apples to her brother before lunch"
+    other = "Tom Jones has 1,250 apples in the old red basket. Tom Jones gives 7.5 apples to her brother before lunch"
+    items = [(1, "What is the capital of France?"), (2, sum_)]
+    rows = [(1, "a quiz (What is the capital of France?)"), (2, "Question 5 What is the capital of France? Lyon"), (3, "- what is the capital of france"), (4, "AS GIVEN " + sum_.upper()), (5, "note that " + sum_), (6, "x y " + other), (7, "It is the capital of Spain"), (8, "This is the capital of France"), (9, "Maria has 12 apples")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 1, "exact"), (2, 1, "exact"), (3, 1, "exact"), (4, 2, "exact"), (5, 2, "exact"), (6, 2, "reparameterised")]
+
+
 def test_leaks_of_documents(docs, spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = Counter()
