@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import Powers, chunks, mix, order_id, prefix, ranges, sliding_min, span_hash, utf8, written
 
 LOW = np.uint64(0xFFFFFFFF)
-MASK = 0xFFFF
 
 
 class Anchors:
@@ -86,10 +85,10 @@ class Repeats(ABC):
         finder, got, size = Anchors(self.width, self.gram), [], 0
 
         def flush() -> pa.RecordBatch:
-            gram, ctx, doc, pos = (np.concatenate([g[i] for g in got]) for i in range(4))
+            gram, ctx, doc, chk, pos = (np.concatenate([g[i] for g in got]) for i in range(5))
             got.clear()
             order = np.argsort(gram)
-            gram, ctx, doc, pos = gram[order], ctx[order], doc[order], pos[order]
+            gram, ctx, doc, chk, pos = gram[order], ctx[order], doc[order], chk[order], pos[order]
             heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             sizes = np.diff(np.concatenate([heads, [len(gram)]]))
             twice = sizes > 1
@@ -97,12 +96,12 @@ class Repeats(ABC):
                 twice &= np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
             # 0: alone so far; 2: known to stand twice, dealt by place; 1: tells the others of its gram so
             kind = np.repeat(np.where(twice, 2, 0), sizes)
-            key = np.where(kind == 2, mix(gram ^ doc.view(np.uint64) ^ pos.view(np.uint64)), gram)
+            key = np.where(kind == 2, mix(gram ^ doc.view(np.uint64) ^ chk.view(np.uint64) ^ pos.view(np.uint64)), gram)
             tell = heads[twice]
             pick = lambda x: np.concatenate([x, x[tell]]).view(np.int64)
             key = np.concatenate([key, gram[tell]]).view(np.int64)
             kind = np.concatenate([kind, np.ones(len(tell), np.int64)]).astype(np.int8)
-            return pa.record_batch({"key": key, "gram": pick(gram), "ctx": pick(ctx), "doc": pick(doc), "pos": pick(pos), "kind": kind})
+            return pa.record_batch({"key": key, "gram": pick(gram), "ctx": pick(ctx), "doc": pick(doc), "chk": pick(chk), "pos": pick(pos), "kind": kind})
 
         for batch in batches:
             ids, checks = batch.column("doc").to_numpy(), batch.column("chk").to_numpy()
@@ -111,8 +110,8 @@ class Repeats(ABC):
                 doc, place, low, high, gram, ctx = finder.find(symbols, bounds)
                 if not len(doc):
                     continue
-                pos = place << 32 | (place - low) << 24 | (place - high) << 16 | checks[a:b][doc]
-                got.append((gram, ctx, ids[a:b][doc].astype(np.int64), pos.astype(np.int64)))
+                pos = place << 32 | (place - low) << 24 | (place - high) << 16
+                got.append((gram, ctx, ids[a:b][doc].astype(np.int64), checks[a:b][doc].astype(np.int64), pos.astype(np.int64)))
                 size += len(doc)
                 if size > held:
                     yield flush()
@@ -122,11 +121,11 @@ class Repeats(ABC):
 
     def _twice(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by key: the places whose gram stands twice."""
-        names = ("key", "gram", "ctx", "doc", "pos", "kind")
-        rest = [np.empty(0, np.int64)] * 6
+        names = ("key", "gram", "ctx", "doc", "chk", "pos", "kind")
+        rest = [np.empty(0, np.int64)] * 7
 
         def made(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, gram, ctx, doc, pos, kind = rows
+            key, gram, ctx, doc, chk, pos, kind = rows
             if not len(key):
                 return
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -135,7 +134,7 @@ class Repeats(ABC):
             twice |= np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads) if self.other_document else sizes > 1
             keep = (np.repeat(twice, sizes) & (kind != 1)) | (kind == 2)
             if keep.any():
-                yield pa.record_batch({"gram": gram[keep], "ctx": ctx[keep], "doc": doc[keep], "pos": pos[keep]})
+                yield pa.record_batch({"gram": gram[keep], "ctx": ctx[keep], "doc": doc[keep], "chk": chk[keep], "pos": pos[keep]})
 
         for batch in batches:
             rows = [np.concatenate([r, batch.column(c).to_numpy().astype(np.int64)]) for r, c in zip(rest, names)]
@@ -170,22 +169,23 @@ class Repeats(ABC):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["gram", "ctx", "n", "least", "windows", "passage"])
 
     def spans(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The documents (doc, chk, and docs' columns) and their spans of symbols to remove: doc, chk, spans (first, end)."""
-        check = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).bitwiseAND(F.lit(MASK)).cast("long")
-        keyed = docs.select(order_id().alias("doc"), check.alias("chk"), "doc_id", "text")
-        anchors = keyed.select("doc", "chk", "text").mapInArrow(self._anchors, "key long, gram long, ctx long, doc long, pos long, kind byte")
-        places = written(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(self._twice, "gram long, ctx long, doc long, pos long"), "places")
-        own = F.col("pos").bitwiseAND(F.lit(MASK))
-        contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("at")).select("gram", "ctx", "n", "at.doc", "at.pos")
+        """The documents (doc, chk, and docs' columns) and their spans of symbols to remove: doc, chk, spans (first, end).
+
+        chk is a 64-bit hash of the text: it tells rows without an id, or of one id, apart.
+        """
+        keyed = docs.select(order_id().alias("doc"), F.xxhash64("text").alias("chk"), "doc_id", "text")
+        anchors = keyed.select("doc", "chk", "text").mapInArrow(self._anchors, "key long, gram long, ctx long, doc long, chk long, pos long, kind byte")
+        places = written(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(self._twice, "gram long, ctx long, doc long, chk long, pos long"), "places")
+        contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "chk", "pos")).alias("at")).select("gram", "ctx", "n", "at.doc", "at.chk", "at.pos")
         # a document's list is no longer than the document
-        wanted = contexts.groupBy("doc", own.alias("chk")).agg(F.collect_list(F.struct("gram", "ctx", "n", "pos")).alias("places"))
+        wanted = contexts.groupBy("doc", "chk").agg(F.collect_list(F.struct("gram", "ctx", "n", "pos")).alias("places"))
         texts = keyed.select("doc", "chk", "text").join(wanted, ["doc", "chk"]).select("doc", "text", "places")
         passages = texts.mapInArrow(self._contexts, "gram long, ctx long, n long, least long, windows int, passage binary")
         found = passages.repartition("gram").sortWithinPartitions("gram").mapInArrow(self.index, self.FOUND)
         found = written(found, "found")
         start = F.shiftright("pos", 32) - F.shiftright("pos", 24).bitwiseAND(F.lit(255))
         hits = places.join(found, ["gram", "ctx"]).where("doc > least")
-        spans = hits.select("doc", own.alias("chk"), F.struct((start + F.col("first")).alias("first"), (start + F.col("last") + self.width).alias("end")).alias("span"))
+        spans = hits.select("doc", "chk", F.struct((start + F.col("first")).alias("first"), (start + F.col("last") + self.width).alias("end")).alias("span"))
         return keyed, spans.groupBy("doc", "chk").agg(F.collect_list("span").alias("spans"))
 
 

@@ -100,6 +100,16 @@ def test_substring_dedup(docs, options):
     same(got, brute_words(rows_of(docs), options["width"]))
 
 
+def test_many_rows_without_an_id(spark):
+    rng = np.random.default_rng(12)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = said(8)
+    rows = [(1, passage)] + [(None, f"{said(5 + k % 9)} {passage if k % 2 else said(8)} {said(4)}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(suffix_dedup(docs, width=30).drop("kept").collect(), brute_bytes(rows, 30))
+    same(substring_dedup(docs, width=5).drop("kept").collect(), brute_words(rows, 5))
+
+
 def test_prefix_groups_fit_and_share_their_prefix():
     rng = np.random.default_rng(1)
     suffixes = rng.integers(0, 3, (500, 4))
