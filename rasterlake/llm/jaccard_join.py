@@ -144,17 +144,20 @@ def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int
     return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
 
 
-def nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id (an order id), n_shingles, size class and node of every row; node is null for an empty set."""
+def nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -> DataFrame:
+    """doc_id (an order id), n_shingles, size class and node of every row; node is null for an empty set. hash, a
+    text's, if hashed."""
+    more = ["hash"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, slices = Shingler(n), Slices(percent)
         for batch in batches:
             made = [(len(x), slices.class_of(len(x)), node_of(x) if len(x) else None) for x in shingler.sets(batch.column("text"))]
             kinds = (pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in made], k) for i, k in enumerate(kinds))], names=["doc_id", "n_shingles", "class", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)), *(batch.column(c) for c in more)], names=["doc_id", "n_shingles", "class", "node", *more])
 
-    return docs.select(order_id().alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, class int, node long")
+    given = docs.select(order_id().alias("doc_id"), "text", *[F.xxhash64("text").alias(c) for c in more])
+    return given.mapInArrow(run, "doc_id long, n_shingles long, class int, node long" + "".join(f", {c} long" for c in more))
 
 
 def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19) -> DataFrame:
@@ -338,14 +341,30 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     reach. Rows with equal sets are one node, so repeated rows and copies never make pairs. A null doc_id comes after
     all others and is the component_id only among its like. Sets and shingles are told apart by 64-bit hashes.
     """
-    every = written(nodes(docs, n, percent), "nodes")
-    owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("class").alias("class"))
-    clusters = components(candidate_links(docs, n, percent))
-    members = written(clusters.join(owners, "node").select("owner", "node", "root", "class"), "members")
-    found = components(verified_links(docs, members, n, percent))
+    every, found, owners = _linked_nodes(docs, n, percent)
     smallest = found.join(owners, "node").groupBy("root").agg(F.min("owner").alias("component"))
     of_node = found.join(smallest, "root").select("node", "component")
     labels = owners.join(of_node, "node", "left").select("node", F.coalesce("component", "owner").alias("component"))
     out = every.join(labels, "node", "left")
     known = lambda c: F.when(c != NULL_ID, c)
     return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _linked_nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes of docs, the nodes with a link and their component's root, and each node's owner."""
+    every = written(nodes(docs, n, percent, hashed), "nodes")
+    owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("class").alias("class"))
+    clusters = components(candidate_links(docs, n, percent))
+    members = written(clusters.join(owners, "node").select("owner", "node", "root", "class"), "members")
+    return every, components(verified_links(docs, members, n, percent)), owners
+
+
+def first_of_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """id (an order id) and hash (xxhash64 of the text) of one row of each component of `jaccard_components`: that with
+    the smallest doc_id, and of those the smallest hash. Rows are told apart by both, as ids may be null or shared. A
+    row with an empty set is a component of its own; those with equal ids and texts count once."""
+    every, found, _ = _linked_nodes(docs, n, percent, hashed=True)
+    sets = every.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "hash")).alias("at"))
+    part = sets.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("at").alias("at"))
+    alone = every.where("node IS NULL").select("doc_id", "hash").distinct()
+    return part.select("at.doc_id", "at.hash").union(alone).withColumnRenamed("doc_id", "id")
