@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 The mix is a sequence of equal-token slots. Slot i belongs to the source whose interval of cumulative target weights
-holds the golden-ratio point frac(i * phi), so that every prefix of the mix is close to the targets. A source's
-documents, shuffled by hash, form a stream of words that is cut into blocks of the slots' size; a source's slots are
-ranked and rank r is joined to block r, the stream beginning again where it ends.
+holds the golden-ratio point frac(i * phi), so that every prefix of the mix is close to the targets. The slots of a
+source are ranked. A source's documents, shuffled by hash, form a stream of words that begins again where it ends, and
+is cut into blocks of a slot's length: block r is joined to the source's slot of rank r. A document stands in the blocks
+that its words touch, once for each time the stream passes it, and the mix takes those of its words whose block has a
+slot.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_id
+from .common import order_id, written
 
 #: The fractional part of the golden ratio.
 PHI = 0.6180339887498949
 #: Sources in order of name have these weights in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows of a part of a shuffled stream, and slots of a part of the schedule: what a task sorts.
+PART = 1 << 13
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> dict[str | None, float]:
@@ -37,7 +41,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def schedule(spark, target: dict[str | None, float], slots: int) -> DataFrame:
-    """slot, source number (in the order of target), rank: which source each slot of the mix takes, by golden-ratio points."""
+    """slot, number (the source's place in target), rank: whose slot it is, by golden-ratio points, and how many slots the
+    source has before it. Ranks are counted in runs of slots, and the runs' counts place the runs."""
     total, upto, bounds = sum(target.values()), 0.0, []
     for s in target:
         upto += target[s]
@@ -45,48 +50,70 @@ def schedule(spark, target: dict[str | None, float], slots: int) -> DataFrame:
     point = F.col("id") * F.lit(PHI) - F.floor(F.col("id") * F.lit(PHI))
     # the number of bounds at or below the point, of which the last never counts
     number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[:-1]]).cast("array<double>"), lambda b: b <= point))
-    return spark.range(slots).select(F.col("id").alias("slot"), number.alias("number"))
+    dealt = spark.range(slots).select(F.col("id").alias("slot"), number.alias("number"), F.floor(F.col("id") / PART).alias("run"))
+    counts = dealt.groupBy("number", "run").agg(F.count("*").alias("n"))  # a row for each run and source
+    before = counts.select("number", "run", (F.sum("n").over(Window.partitionBy("number").orderBy("run")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("number", "run").orderBy("slot")) - 1
+    return dealt.withColumn("within", within).join(before, ["number", "run"]).select("slot", "number", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def mixed(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, max_slots: int = 1 << 20, parts: int = 256, seed: str = "mix") -> DataFrame:
-    """How many words of each document the mix takes: row (a struct of docs' columns `carry`), size, source_size, target, taken.
+def streams(keyed: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """keyed (uid, number, size, hash, id, check) and start: the words of its source before it, in the order of the shuffle.
+    A source's stream is cut by hash into parts of about PART rows; the parts' sums place the parts."""
+    parts = [max(1, -(-n // PART)) for _, n in sorted(counts.items())]
+    # a hash's upper 32 bits as a fraction of a source's parts
+    many = F.array(*[F.lit(p) for p in parts])[F.col("number")].cast("long")
+    part = F.shiftright(F.shiftrightunsigned("hash", 32) * many, 32)
+    rows = keyed.withColumn("part", part)
+    sums = rows.groupBy("number", "part").agg(F.sum("size").alias("words"))
+    before = sums.select("number", "part", (F.sum("words").over(Window.partitionBy("number").orderBy("part")) - F.col("words")).alias("before"))
+    unsigned = F.shiftrightunsigned("hash", 1)
+    within = F.sum("size").over(Window.partitionBy("number", "part").orderBy(unsigned, "hash", "id", "check").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return rows.withColumn("within", within).join(before, ["number", "part"]).withColumn("start", F.col("before") + F.col("within")).drop("within", "before", "part")
 
-    A slot is ceil(all words / max_slots) words long. A source whose slots hold n words takes its whole stream
-    n div size times and the first n mod size words of it again; n is held at `most` times the stream, so no document
-    is above `most` times its size. Rows without a source are a source of their own, the last; a null text has no
-    words; ties of the shuffle go by doc_id and text, so reruns agree. An empty table gives an empty result.
-    The number of sources is that of a table's labels: their sums are gathered on the driver.
+
+def mixed(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, max_slots: int = 1 << 20, seed: str = "mix") -> DataFrame:
+    """What the mix takes of each document: row (a struct of docs' columns `carry`), size, source_size, target, taken (words),
+    first_slot (the first slot with words of it, null if there is none).
+
+    A slot is ceil(all words / max_slots) words long. A source's slots take its stream from the beginning, and again
+    where it ends, but never more than `most` times; so no document is above `most` times its size. Rows without a
+    source are a source of their own, the last; a null text has no words, and nothing is taken of it; ties of the shuffle
+    go by doc_id and text, so reruns agree; repeated rows have places of their own. An empty table gives an empty
+    result. Rows are written once, with their sizes; the number of sources is that of a table's labels: their sums are
+    gathered on the driver.
     """
     spark = docs.sparkSession
     size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
     label = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    keyed = docs.select(row, size.alias("size"), label.alias("_src"), F.xxhash64(order_id(), F.lit(seed)).alias("_hash"), order_id().alias("_id"), crc.alias("_sha"))
-    keyed = keyed.withColumn("_part", F.pmod(F.shiftright("_hash", 40), F.lit(parts)).cast("int"))
-    sums = keyed.groupBy("_src", "_part").agg(F.sum("size").alias("_words"))
-    per_source = {r["_src"][1:] if r["_src"] != "0" else None: int(r["words"]) for r in sums.groupBy("_src").agg(F.sum("_words").alias("words")).collect()}
-    target = targets(per_source, weights, most) if per_source else {}
-    total = sum(per_source.values())
+    row, check = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.xxhash64("text")
+    rows = docs.select(row, size.alias("size"), label.alias("src"), order_id().alias("id"), check.alias("check"), F.monotonically_increasing_id().alias("uid"))
+    rows = written(rows, "sizes")
+    got = rows.groupBy("src").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # a row a source
+    names = {r["src"][1:] if r["src"] != "0" else None: r for r in got}
+    target = targets({s: int(r["words"]) for s, r in names.items()}, weights, most) if names else {}
+    total = int(sum(r["words"] for r in got))
     length = max(1, math.ceil(total / max_slots))
-    n_slots = math.ceil(total / length)
-    got = {r["number"]: r["n"] for r in schedule(spark, target, n_slots).groupBy("number").agg(F.count("*").alias("n")).collect()} if n_slots else {}
-    rows = [("0" if s is None else "1" + s, per_source[s], target[s], min(got.get(i, 0) * length, math.floor(most * per_source[s]))) for i, s in enumerate(target)]
-    plan = spark.createDataFrame(rows, "_src string, source_size long, target double, _take long")
-    # the stream: parts of the shuffle in turn, by hash within a part
-    before = sums.select("_src", "_part", (F.sum("_words").over(Window.partitionBy("_src").orderBy("_part")) - F.col("_words")).alias("_before"))
-    within = F.sum("size").over(Window.partitionBy("_src", "_part").orderBy("_hash", "_id", "_sha").rowsBetween(Window.unboundedPreceding, 0))
-    placed = keyed.withColumn("_within", within - F.col("size"))
-    joined = placed.join(before, ["_src", "_part"]).join(F.broadcast(plan), "_src")  # plan: a row a source, made on the driver
-    start = F.col("_before") + F.col("_within")
-    some = F.greatest(F.lit(0), F.least(start + F.col("size"), F.col("_take") % F.greatest(F.col("source_size"), F.lit(1))) - start)
-    full = F.floor(F.col("_take") / F.greatest(F.col("source_size"), F.lit(1)))
-    taken = F.when(F.col("size") > 0, full * F.col("size") + some).otherwise(0).cast("long")
-    return joined.select("row", "size", "source_size", "target", taken.alias("taken"))
+    plan = [("0" if s is None else "1" + s, i, int(names[s]["words"]), target[s], math.floor(most * names[s]["words"])) for i, s in enumerate(target)]
+    sources = spark.createDataFrame(plan, "src string, number int, source_size long, target double, most long")
+    keyed = rows.select("uid", "src", "size", "id", "check", F.xxhash64("id", "check", F.lit(seed)).alias("hash")).join(F.broadcast(sources), "src")  # a row a source
+    stream = streams(keyed, {i: int(names[s]["n"]) for i, s in enumerate(target)}) if plan else keyed.withColumn("start", F.lit(0).cast("long"))
+    # each pass over a document: its words in the repeated stream, and the blocks that they touch
+    at = F.col("start") + F.col("pass") * F.col("source_size")
+    passes = stream.where("size > 0").select("uid", "number", "size", "most", "start", "source_size", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("pass"))
+    passes = passes.select("uid", "number", at.alias("low"), F.least(at + F.col("size"), F.col("most")).alias("high")).where("low < high")
+    cut = F.lit(length)
+    touched = passes.select("uid", "number", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cut), F.floor((F.col("high") - 1) / cut))).alias("rank"))
+    words = F.least("high", (F.col("rank") + 1) * cut) - F.greatest("low", F.col("rank") * cut)
+    blocks = touched.select("uid", "number", "rank", words.alias("words"))
+    slots = schedule(spark, target, math.ceil(total / length))
+    taken = blocks.join(slots, ["number", "rank"]).groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    out = rows.join(F.broadcast(sources), "src").join(taken, "uid", "left")
+    return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mix(docs: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
-    """docs' columns (or those in carry), but for any of these names, with size, source_size, target and taken: see mixed."""
-    made = ("size", "source_size", "target", "taken")
+    """docs' columns (or those in carry), but for any of these names, with size, source_size, target, taken and first_slot: see mixed."""
+    made = ("size", "source_size", "target", "taken", "first_slot")
     names = [c for c in carry or docs.columns if c not in made]
     return mixed(docs, names, **options).select(*[F.col("row").getField(c).alias(c) for c in names], *made)
