@@ -4,11 +4,13 @@ Windows of `width` symbols (bytes or words) are what is compared. Of the runs of
 with the smallest hash is the window's anchor; consecutive windows mostly share it, and equal windows have it at the
 same place. So an anchor with the text that its windows cover, its context, stands for all of them. A window can only
 stand twice if its anchor's gram does: single grams, the great majority, go no further than one shuffle of fixed-size
-rows. Equal contexts are counted together, and one text of each distinct context goes to an index, dealt by gram,
+rows. Equal contexts are one row with their number, and one text of each distinct context goes to an index, dealt by gram,
 which finds the windows that stand twice (the operator's own method). Its answers are joined back to all places.
 
 Rows of the input tasks are grouped by gram before the shuffle, so a gram that very many documents share comes as one
-row of each task, and its places are dealt by place.
+row of each task, and its places are dealt by place. A gram that stands in very many different contexts, a crowd, is not
+dealt by gram: its contexts are taken apart into windows, equal windows of a task become one row, and the rows are
+dealt by window.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, mix, order_id, prefix, ranges, sliding_min, span_hash, utf8, written
+from .common import Powers, chunks, discard, mix, order_id, prefix, ranges, sliding_min, span_hash, utf8, written
 
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -61,11 +63,14 @@ class Anchors:
 class Repeats(ABC):
     """A substring dedup: how a text becomes symbols, and the index that finds repeated windows."""
 
-    #: What an index returns: windows first..last of a context stand in a row below `below` or twice.
+    #: What an index reads: contexts, or windows of a crowd with all contexts of a task that hold them (gram, ctx, window).
+    PASSAGES = "deal long, gram long, ctx long, n long, least long, windows int, passage binary, members binary"
+    #: What an index returns: windows first..last of a context stand twice, the first time in row `least`.
     FOUND = "gram long, ctx long, first int, last int, least long"
 
-    def __init__(self, width: int, gram: int, other_document: bool):
-        self.width, self.gram, self.other_document = width, gram, other_document
+    def __init__(self, width: int, gram: int, other_document: bool, crowd: int = 1024):
+        """crowd: distinct contexts of a gram from which it is dealt by window (more in a corpus of over 2**16 times as many)."""
+        self.width, self.gram, self.other_document, self.crowd = width, gram, other_document, crowd
 
     @abstractmethod
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +82,7 @@ class Repeats(ABC):
 
     @abstractmethod
     def index(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows gram, ctx, n, least, windows, passage, sorted by gram, to FOUND."""
+        """From PASSAGES, sorted by deal, to FOUND. Equal windows have equal deals."""
 
     # anchors, grouped by gram in each task, then over all
 
@@ -143,30 +148,76 @@ class Repeats(ABC):
             rest = [x[cut:] for x in rows]
         yield from made(rest)
 
-    def _contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            whole, out, size = data.tobytes(), [], 0
-            for i, places in enumerate(batch.column("places").to_pylist()):
-                spans = []
-                for p in places:
-                    place, low, high = p["pos"] >> 32, p["pos"] >> 24 & 255, p["pos"] >> 16 & 255
-                    spans.append((place - low, place - high + self.width))
-                texts = self.passages(whole[offsets[i] : offsets[i + 1]], spans)
-                least = batch.column("doc")[i].as_py()
-                for p, (a, b), text in zip(places, spans, texts):
-                    out.append((p["gram"], p["ctx"], p["n"], least, b - a - self.width + 1, text))
-                    size += len(text)
-                if size > 4 << 20:
-                    yield self._passages(out)
-                    out, size = [], 0
+    def _contexts(self, crowds: np.ndarray):
+        """The passages of the contexts that each text stands for."""
+        known = frozenset(crowds.tolist())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, size, apart, held = [], 0, {}, 0
+            for batch in batches:
+                data, offsets = utf8(batch.column("text"))
+                whole = data.tobytes()
+                for i, places in enumerate(batch.column("places").to_pylist()):
+                    spans = []
+                    for p in places:
+                        place, low, high = p["pos"] >> 32, p["pos"] >> 24 & 255, p["pos"] >> 16 & 255
+                        spans.append((place - low, place - high + self.width))
+                    many = [k for k, p in enumerate(places) if p["gram"] in known]
+                    text, least = whole[offsets[i] : offsets[i + 1]], batch.column("doc")[i].as_py()
+                    for k, passage in enumerate(self.passages(text, spans)):
+                        p, (a, b) = places[k], spans[k]
+                        if p["gram"] not in known:
+                            out.append((p["gram"], p["gram"], p["ctx"], p["n"], least, b - a - self.width + 1, passage, None))
+                            size += len(passage)
+                    single = [(a + w, a + w + self.width) for k in many for a, b in [spans[k]] for w in range(b - a - self.width + 1)]
+                    owner = [(places[k], w) for k in many for w in range(spans[k][1] - spans[k][0] - self.width + 1)]
+                    for (p, w), passage in zip(owner, self.passages(text, single) if single else ()):
+                        at = apart.get((p["gram"], passage))
+                        if at is None:
+                            apart[p["gram"], passage] = [p["ctx"], p["n"], least, [(p["gram"], p["ctx"], w)]]
+                            held += len(passage)
+                        else:
+                            at[1], at[2] = at[1] + p["n"], min(at[2], least)
+                            at[3].append((p["gram"], p["ctx"], w))
+                        held += 64
+                    if size > 4 << 20:
+                        yield self._passages(out)
+                        out, size = [], 0
+                    if held > 32 << 20:
+                        yield from self._apart(apart)
+                        apart, held = {}, 0
+            yield from self._apart(apart)
             if out:
                 yield self._passages(out)
 
+        return run
+
+    def _apart(self, windows: dict[tuple[int, bytes], list], lot: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for (gram, passage), (ctx, n, least, members) in windows.items():
+            deal = hashlib.blake2b(passage, digest_size=8, key=gram.to_bytes(8, "little", signed=True)).digest()
+            rows.append((int.from_bytes(deal, "little", signed=True), gram, ctx, n, least, 1, passage, np.array(members, "<i8").tobytes()))
+            if len(rows) >= lot:
+                yield self._passages(rows)
+                rows = []
+        if rows:
+            yield self._passages(rows)
+
+    @classmethod
+    def _passages(cls, rows: list) -> pa.RecordBatch:
+        kinds = (*[pa.int64()] * 5, pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in cls.PASSAGES.split(", ")])
+
     @staticmethod
-    def _passages(rows: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["gram", "ctx", "n", "least", "windows", "passage"])
+    def found(gram: np.ndarray, ctx: np.ndarray, first: np.ndarray, last: np.ndarray, least: np.ndarray, members: list[bytes | None]) -> pa.RecordBatch:
+        """FOUND of runs of windows of contexts; those of a crowd's window are its members."""
+        apart = np.array([m is not None for m in members], bool)
+        parts = [(gram[~apart], ctx[~apart], first[~apart], last[~apart], least[~apart])]
+        for k in np.flatnonzero(apart).tolist():
+            m = np.frombuffer(members[k], "<i8").reshape(-1, 3)
+            parts.append((m[:, 0], m[:, 1], m[:, 2], m[:, 2], np.full(len(m), least[k])))
+        gram, ctx, first, last, least = (np.concatenate(x) for x in zip(*parts))
+        return pa.record_batch({"gram": gram, "ctx": ctx, "first": first.astype(np.int32), "last": last.astype(np.int32), "least": least})
 
     def spans(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The documents (doc, chk, and docs' columns) and their spans of symbols to remove: doc, chk, spans (first, end).
@@ -176,13 +227,18 @@ class Repeats(ABC):
         keyed = docs.select(order_id().alias("doc"), F.xxhash64("text").alias("chk"), "doc_id", "text")
         anchors = keyed.select("doc", "chk", "text").mapInArrow(self._anchors, "key long, gram long, ctx long, doc long, chk long, pos long, kind byte")
         places = written(anchors.repartition("key").sortWithinPartitions("key").mapInArrow(self._twice, "gram long, ctx long, doc long, chk long, pos long"), "places")
-        contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "chk", "pos")).alias("at")).select("gram", "ctx", "n", "at.doc", "at.chk", "at.pos")
+        contexts = places.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "chk", "pos")).alias("at"))
+        contexts = written(contexts.select("gram", "ctx", "n", "at.doc", "at.chk", "at.pos"), "contexts")
+        # a list of 2**16 grams at most
+        most = max(self.crowd, contexts.count() >> 16)
+        crowds = contexts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram").collect()
         # a document's list is no longer than the document
         wanted = contexts.groupBy("doc", "chk").agg(F.collect_list(F.struct("gram", "ctx", "n", "pos")).alias("places"))
         texts = keyed.select("doc", "chk", "text").join(wanted, ["doc", "chk"]).select("doc", "text", "places")
-        passages = texts.mapInArrow(self._contexts, "gram long, ctx long, n long, least long, windows int, passage binary")
-        found = passages.repartition("gram").sortWithinPartitions("gram").mapInArrow(self.index, self.FOUND)
+        passages = texts.mapInArrow(self._contexts(np.array([r["gram"] for r in crowds], np.int64)), self.PASSAGES)
+        found = passages.repartition("deal").sortWithinPartitions("deal").mapInArrow(self.index, self.FOUND)
         found = written(found, "found")
+        discard(contexts)
         start = F.shiftright("pos", 32) - F.shiftright("pos", 24).bitwiseAND(F.lit(255))
         hits = places.join(found, ["gram", "ctx"]).where("doc > least")
         spans = hits.select("doc", "chk", F.struct((start + F.col("first")).alias("first"), (start + F.col("last") + self.width).alias("end")).alias("span"))

@@ -57,10 +57,10 @@ def deep_nodes(suffixes: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.n
 
 
 class WordRepeats(Repeats):
-    """limit: suffixes of a group's tree. memory: suffixes that are gathered before they are split, between two grams."""
+    """limit: suffixes of a group's tree. memory: suffixes that are gathered before they are split, between two deals."""
 
-    def __init__(self, width: int = 13, gram: int = 4, limit: int = 1 << 16, memory: int = 1 << 18):
-        super().__init__(width, gram, other_document=True)
+    def __init__(self, width: int = 13, gram: int = 4, limit: int = 1 << 16, memory: int = 1 << 18, crowd: int = 1024):
+        super().__init__(width, gram, other_document=True, crowd=crowd)
         self.limit, self.memory = limit, memory
         self.powers, self.table = Powers(31), byte_table(32)
 
@@ -75,21 +75,21 @@ class WordRepeats(Repeats):
     def index(self, batches):
         held, size, last = [], 0, None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("gram", "ctx", "n", "least", "windows", "passage")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("deal", "gram", "ctx", "n", "least", "windows", "passage", "members")))
             for row in rows:
                 if size > self.memory and row[0] != last:
                     yield from self.trees(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[4]
+                size += row[5]
                 last = row[0]
         if held:
             yield from self.trees(held)
 
     def trees(self, contexts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, ctx, n, least, windows = (np.array([c[i] for c in contexts], np.int64) for i in range(5))
+        gram, ctx, n, least, windows = (np.array([c[i] for c in contexts], np.int64) for i in range(1, 6))
         numbers: dict[bytes, int] = {}
-        texts = [[numbers.setdefault(w, len(numbers)) for w in c[5].split()] for c in contexts]
+        texts = [[numbers.setdefault(w, len(numbers)) for w in c[6].split()] for c in contexts]
         begin = np.cumsum([0, *map(len, texts)])[:-1]
         flat = np.array([w for t in texts for w in t], np.int32)
         at, owner = ranges(begin, windows), np.repeat(np.arange(len(contexts)), windows)
@@ -108,7 +108,8 @@ class WordRepeats(Repeats):
         new[1:] = (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1) | (smallest[1:] != smallest[:-1])
         heads = np.flatnonzero(new)
         end = np.concatenate([heads[1:], [len(owner)]]) - 1
-        yield pa.record_batch({"gram": gram[owner[heads]], "ctx": ctx[owner[heads]], "first": window[heads].astype(np.int32), "last": window[end].astype(np.int32), "least": smallest[heads]})
+        own = owner[heads]
+        yield self.found(gram[own], ctx[own], window[heads], window[end], smallest[heads], [contexts[i][7] for i in own.tolist()])
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"

@@ -1,10 +1,11 @@
 """Substring dedup on bytes with a logarithmic family of suffix arrays.
 
-Suffixes are the positions where a window of `width` bytes starts; only that many bytes of a suffix count. A new batch
-gets a suffix array: its suffixes in order of their window, by the first two bytes and then by a 112-bit fingerprint
-of all of them, so that equal windows are neighbours. The batch is merge-scanned against each level for windows that
-already stand there; its other windows become a new level, and levels of like size are merged, so that there are about
-log n levels and a suffix is moved log n times. A window that stands twice is reported for both of its places.
+Suffixes are the positions where a window of `width` bytes starts; only that many bytes of a suffix count. A new batch of
+texts gets a suffix array: its suffixes in byte order, equal ones as one run with the number of its places. The batch is
+merge-scanned against each level, the suffix array of earlier batches: neighbours in the merged order that agree in
+`width` bytes are a long match. What no level has becomes a new level, and levels of like size are merged, so that there
+are about log n levels and a suffix is moved log n times. A window is reported when its run, over all levels, gets a second
+place: then, once, for every place that it has, and for each later one.
 """
 
 from __future__ import annotations
@@ -15,97 +16,85 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Powers, byte_table, prefix, ranges, span_hash, utf8
+from .common import byte_table, ranges, utf8
 from .repeats import Repeats, covered, sha256
 
 
+def heads(suffixes: np.ndarray) -> np.ndarray:
+    """Where the runs of equal ones begin in sorted suffixes."""
+    if not len(suffixes):
+        return np.empty(0, np.int64)
+    raw = suffixes.view(np.uint8).reshape(len(suffixes), -1)
+    return np.flatnonzero(np.concatenate([[True], (raw[1:] != raw[:-1]).any(axis=1)]))
+
+
 class Level:
-    """Distinct windows in suffix order: order key, second fingerprint, place (context << 8 | window), whether reported."""
+    """A suffix array of distinct windows, with their bytes: one place (context << 8 | window) and the number of places of each."""
 
-    def __init__(self, key: np.ndarray, check: np.ndarray, place: np.ndarray, told: np.ndarray):
-        self.key, self.check, self.place, self.told = key, check, place, told
+    def __init__(self, suffixes: np.ndarray, place: np.ndarray, total: np.ndarray):
+        self.suffixes, self.place, self.total = suffixes, place, total
 
     def __len__(self) -> int:
-        return len(self.key)
+        return len(self.place)
+
+    def order(self, other: "Level") -> tuple[np.ndarray, np.ndarray]:
+        """The merged order of both arrays, and the merged suffixes: a stable sort of two runs is one pass."""
+        both = np.concatenate([self.suffixes, other.suffixes])
+        order = np.argsort(both, kind="stable")
+        return order, both[order]
 
     def merged(self, other: "Level") -> "Level":
-        at = np.searchsorted(self.key, other.key, "right") + np.arange(len(other))
-        rest = np.ones(len(self) + len(other), bool)
-        rest[at] = False
-        out = []
-        for a, b in ((self.key, other.key), (self.check, other.check), (self.place, other.place), (self.told, other.told)):
-            x = np.empty(len(rest), a.dtype)
-            x[at], x[rest] = b, a
-            out.append(x)
-        return Level(*out)
-
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Where each of the sorted windows stands, or -1."""
-        at, found = np.searchsorted(self.key, key), np.full(len(key), -1)
-        open_ = np.flatnonzero(at < len(self))
-        while len(open_):
-            open_ = open_[self.key[at[open_]] == key[open_]]
-            same = self.check[at[open_]] == check[open_]
-            found[open_[same]] = at[open_[same]]
-            open_ = open_[~same]
-            at[open_] += 1
-            open_ = open_[at[open_] < len(self)]
-        return found
+        order, suffixes = self.order(other)
+        return Level(suffixes, np.concatenate([self.place, other.place])[order], np.concatenate([self.total, other.total])[order])
+
+    def matches(self, other: "Level") -> tuple[np.ndarray, np.ndarray]:
+        """Which windows of this level and of the other are the same, from a scan of the merged order."""
+        order, suffixes = self.order(other)
+        again = np.ones(len(order), bool)
+        again[heads(suffixes)] = False
+        at = np.flatnonzero(again)
+        return order[at - 1], order[at] - len(self)
 
 
 class Family:
     def __init__(self, width: int):
         self.width, self.levels = width, []
-        self.powers, self.tables = (Powers(21), Powers(22)), (byte_table(23), byte_table(24))
         self.reported: list[np.ndarray] = []
-        self.size = 0
 
-    def suffix_array(self, data: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Key, second fingerprint and place of every window of the batch's contexts, in suffix order."""
+    @property
+    def size(self) -> int:
+        return sum(map(len, self.levels))
+
+    def suffix_array(self, data: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted suffixes of a batch's contexts, and their places."""
         at = ranges(first, windows)
         number = np.repeat(np.arange(len(first)), windows)
-        one, two = (span_hash(prefix(t[data], p), at, at + self.width, p) for t, p in zip(self.tables, self.powers))
-        lead = data[at].astype(np.uint64) << np.uint64(56) | data[at + 1].astype(np.uint64) << np.uint64(48)
-        key = lead | one >> np.uint64(16)
-        place = number << 8 | (at - first[number])
-        order = np.argsort(key)
-        return key[order], two[order], place[order]
-
-    def add(self, data: np.ndarray, first: np.ndarray, windows: np.ndarray, twice: np.ndarray, base: int) -> None:
-        """A batch of contexts, numbered from base; twice: contexts that stand at several places."""
-        key, check, place = self.suffix_array(data, first, windows)
-        many = twice[place >> 8]
-        place = place + (base << 8)
-        self.reported.append(place[many])
-        told = many.copy()
+        every = np.ndarray((len(data) - self.width + 1,), f"V{self.width}", buffer=data, strides=(1,))
+        suffixes = every[at]
+        order = np.argsort(suffixes, kind="stable")
+        return suffixes[order], (number << 8 | (at - first[number]))[order]
+
+    def add(self, data: np.ndarray, first: np.ndarray, windows: np.ndarray, n: np.ndarray, base: int) -> None:
+        """A batch of contexts, numbered from base, that stand at n places each."""
+        if not len(first):
+            return
+        suffixes, place = self.suffix_array(data, first, windows)
+        run = heads(suffixes)
+        sizes = np.diff(np.concatenate([run, [len(place)]]))
+        new = Level(suffixes[run], place[run] + (base << 8), np.add.reduceat(n[place >> 8], run))
+        known = np.zeros(len(new), bool)
         for level in self.levels:
-            at = level.find(key, check)
-            hit = at >= 0
-            if not hit.any():
-                continue
-            self.reported.append(place[hit & ~told])
-            told |= hit
-            where = np.unique(at[hit])
-            where = where[~level.told[where]]
-            self.reported.append(level.place[where])
-            level.told[where] = True
-            keep = ~hit
-            key, check, place, told = key[keep], check[keep], place[keep], told[keep]
-        # equal windows of the batch are neighbours
-        if len(key):
-            order = np.lexsort((check, key))
-            key, check, place, told = key[order], check[order], place[order], told[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-            heads = np.flatnonzero(new)
-            again = np.repeat(np.diff(np.concatenate([heads, [len(key)]])) > 1, np.diff(np.concatenate([heads, [len(key)]])))
-            self.reported.append(place[again & ~told])
-            told = np.logical_or.reduceat(told | again, heads)
-            self.levels.append(Level(key[heads], check[heads], place[heads], told))
+            theirs, ours = level.matches(new)
+            known[ours] = True
+            once = theirs[level.total[theirs] == 1]
+            self.reported.append(level.place[once])
+            level.total[theirs] += new.total[ours]
+        self.reported.append((place + (base << 8))[np.repeat(known | (new.total > 1), sizes)])
+        if not known.all():
+            self.levels.append(Level(new.suffixes[~known], new.place[~known], new.total[~known]))
             while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
                 b, a = self.levels.pop(), self.levels.pop()
                 self.levels.append(a.merged(b))
-        self.size = sum(map(len, self.levels))
 
     def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Context, first and last window of the runs of reported windows."""
@@ -114,16 +103,16 @@ class Family:
             return (np.empty(0, np.int64),) * 3
         new = np.ones(len(place), bool)
         new[1:] = (place[1:] != place[:-1] + 1) | (place[1:] >> 8 != place[:-1] >> 8)
-        heads = np.flatnonzero(new)
-        last = place[np.concatenate([heads[1:], [len(place)]]) - 1]
-        return place[heads] >> 8, place[heads] & 255, last & 255
+        begins = np.flatnonzero(new)
+        last = place[np.concatenate([begins[1:], [len(place)]]) - 1]
+        return place[begins] >> 8, place[begins] & 255, last & 255
 
 
 class SuffixRepeats(Repeats):
-    """memory: suffixes in a family before it may be closed, between two grams, and contexts in a batch."""
+    """batch: windows of a batch, about. memory: suffixes in a family from which on it is closed, between two deals."""
 
-    def __init__(self, width: int = 200, gram: int = 64, batch: int = 4096, memory: int = 1 << 20):
-        super().__init__(width, gram, other_document=False)
+    def __init__(self, width: int = 200, gram: int = 64, batch: int = 1 << 15, memory: int = 1 << 17, crowd: int = 1024):
+        super().__init__(width, gram, other_document=False, crowd=crowd)
         self.batch, self.memory, self.table = batch, memory, byte_table(13)
 
     def symbols(self, data, offsets):
@@ -133,32 +122,29 @@ class SuffixRepeats(Repeats):
         return [text[a:b] for a, b in spans]
 
     def index(self, batches):
-        family, grams, ctxs = Family(self.width), [], []
+        family, held = Family(self.width), []
 
         def close() -> Iterator[pa.RecordBatch]:
             number, first, last = family.answers()
             if len(number):
-                gram, ctx = np.concatenate(grams)[number], np.concatenate(ctxs)[number]
-                yield pa.record_batch({"gram": gram, "ctx": ctx, "first": first.astype(np.int32), "last": last.astype(np.int32), "least": np.full(len(number), -(1 << 63), np.int64)})
+                gram, ctx = (np.concatenate([p.column(c).to_numpy() for p in held])[number] for c in ("gram", "ctx"))
+                members = pa.chunked_array([p.column("members") for p in held]).take(pa.array(number)).to_pylist()
+                yield self.found(gram, ctx, first, last, np.full(len(number), -(1 << 63), np.int64), members)
 
+        last_deal = None
         for batch in batches:
-            gram = batch.column("gram").to_numpy()
-            at = 0
-            while at < len(gram):
-                if family.size > self.memory and (not grams or gram[at] != grams[-1][-1]):
-                    yield from close()  # no window of this gram or a later one stands in the family
-                    family, grams, ctxs = Family(self.width), [], []
-                to = min(len(gram), at + self.batch)
-                if to < len(gram) and gram[to - 1] != gram[at]:  # rather end where a gram does
-                    while gram[to] == gram[to - 1]:
-                        to -= 1
+            deal, windows = batch.column("deal").to_numpy(), batch.column("windows").to_numpy().astype(np.int64)
+            upto, at = np.cumsum(windows), 0
+            while at < len(deal):
+                if family.size > self.memory and deal[at] != last_deal:
+                    yield from close()  # no window of this deal or a later one stands in the family
+                    family, held = Family(self.width), []
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] - windows[at] + self.batch, "right")))
                 part = batch.slice(at, to - at)
                 data, offsets = utf8(part.column("passage"))
-                base = sum(map(len, grams))
-                family.add(data, offsets[:-1], part.column("windows").to_numpy().astype(np.int64), part.column("n").to_numpy() > 1, base)
-                grams.append(gram[at:to])
-                ctxs.append(part.column("ctx").to_numpy())
-                at = to
+                family.add(data, offsets[:-1], windows[at:to], part.column("n").to_numpy(), sum(p.num_rows for p in held))
+                held.append(part.select(["gram", "ctx", "members"]))
+                last_deal, at = deal[to - 1], to
         yield from close()
 
 
