@@ -14,12 +14,12 @@ from .jaccard_join import jaccard_components
 from .language_id import predict, train
 from .license_scan import license_scan
 from .mixing import mix
-from .sharding import layout, place
+from .sharding import founded, grown, place
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_files import token_files, vocabulary
 
-SHARDS = 40
+REGIONS, RACKS, SHARDS = 2, 4, 5
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
 
@@ -60,7 +60,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(read(spark, sf_dir, "documents"), layout(SHARDS), layout(SHARDS + 1))
+    tree = founded(REGIONS, RACKS, SHARDS)
+    return place(read(spark, sf_dir, "documents"), tree, grown(tree))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
