@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import mix, utf8
 
 UNDETERMINED = "und"
 
@@ -22,27 +24,55 @@ UNDETERMINED = "und"
 def train(labelled: DataFrame, docs_per_language: int = 64, excerpt: int = 256) -> dict[str, bytes]:
     """A dictionary for every label of labelled (text, lang).
 
-    The sample is bounded: at most docs_per_language texts a label, those with the smallest hashes of about twice as
-    many, with `excerpt` characters from the middle of each one's letters. Copies of a text count once. No dictionary
-    is cut to another's length.
+    The sample is bounded in rows: at most docs_per_language texts a label, those with the smallest hashes. Copies of a
+    text count once, and a text with several labels counts for each. The sample's whole texts are read: each gives the
+    dictionary the passage of `excerpt` characters whose runs of letters stand in the most texts of the sample. Rows
+    without a label, and null, empty or letterless texts teach nothing, so a label that has no others is not learned; no
+    label is left out for being rare, and no dictionary is cut to another's length. An empty table gives no dictionary.
     """
-    texts = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    texts = texts.withColumn("h", F.xxhash64("text"))
+    texts = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     counts = texts.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a label
     if not counts:
         return {}
+    # about twice the texts that are wanted, or all; of these, exactly the smallest hashes
     chance = [(r["lang"], min(1.0, 2.0 * docs_per_language / max(1, r["n"]))) for r in counts]
     chance = labelled.sparkSession.createDataFrame(chance, "lang string, chance double")
     draw = F.pmod("h", F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
-    told = F.trim(F.regexp_replace("text", r"[\x00-@\[-`{-\x7F]+", " "))
-    middle = F.greatest(F.lit(1), F.floor((F.length("told") - excerpt) / 2).cast("int"))
-    chosen = texts.join(F.broadcast(chance), "lang").where(draw < F.col("chance")).select("lang", "h", told.alias("told"))
-    kept = chosen.select("lang", "h", F.substring("told", middle, F.lit(excerpt)).alias("part")).distinct().collect()
-    parts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
-    for r in sorted(kept, key=lambda r: r["h"]):
-        if len(parts[r["lang"]]) < docs_per_language:
-            parts[r["lang"]].append(letters(r["part"].encode()))
-    return {lang: b" ".join(p) for lang, p in sorted(parts.items()) if p}
+    chosen = texts.join(F.broadcast(chance), "lang").where(draw < F.col("chance")).select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 52)), "h"))
+    sample = chosen.withColumn("place", place).where(F.col("place") <= docs_per_language)
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = dictionary([letters(t.encode()).decode("utf-8", "replace") for t in pdf.sort_values("place")["text"]], excerpt)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "content": [made.encode()]})
+
+    learned = sample.groupBy("lang").applyInPandas(learn, "lang string, content binary").collect()  # a row a label, of bounded size
+    return {r["lang"]: bytes(r["content"]) for r in sorted(learned, key=lambda r: r["lang"]) if r["content"]}
+
+
+def dictionary(texts: list[str], excerpt: int, run: int = 6, bits: int = 18) -> str:
+    """A passage of each text, the best one last: that whose runs of `run` characters stand in the most texts, runs of
+    passages chosen before not counting. Runs are told apart by `bits` bits of a hash."""
+    runs, seen = [], np.zeros(1 << bits, np.int64)
+    for text in texts:
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        h = np.zeros(max(0, len(points) - run + 1), np.uint64)
+        for k in range(run):
+            h = h * np.uint64(1_000_003) + points[k : k + len(h)]
+        runs.append((mix(h) >> np.uint64(64 - bits)).astype(np.int64))
+        seen[np.unique(runs[-1])] += 1
+    made = []
+    for text, h in zip(texts, runs):
+        width = max(1, excerpt - run + 1)
+        at, best = 0, 0
+        if len(h) > width:
+            total = np.concatenate([[0], np.cumsum(np.maximum(0, seen[h] - 1))])
+            score = total[width:] - total[:-width]
+            at = int(np.argmax(score))
+            best = int(score[at])
+        seen[h[at : at + width]] = 0
+        made.append((best, text[at : at + excerpt]))
+    return " ".join(passage for _, passage in sorted(made, key=lambda x: x[0]))
 
 
 #: A-Z become a-z; other ASCII that is no letter becomes a space.
@@ -144,9 +174,10 @@ PREDICTED = "lang_pred string, score double, margin double, rejected boolean"
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], min_margin: float = 0.001) -> DataFrame:
     """docs' columns `keep`, and lang_pred, score, margin, rejected.
 
-    The text alone decides. A null text, one without a letter, or any text where no language was learned is
-    `und` with score 0 and rejected; so is, with its best language and score, a text whose margin between the
-    smallest and the second total is not above min_margin.
+    The text alone decides, so repeated rows have equal results. A null or empty text, one without a letter, or any text
+    where no language was learned is `und` with score 0 and rejected; so is, with its best language and score, a text
+    whose margin between the smallest and the second total is not above min_margin. Of languages with equal totals the
+    first by name wins, those with a complete dictionary before others. A long text is compressed whole, in blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
