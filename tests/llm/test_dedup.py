@@ -9,7 +9,7 @@ import pytest
 from rasterlake.llm.exact_dedup import BLANKS, PatriciaTrie, exact_dedup
 from rasterlake.llm.jaccard_join import Slices, jaccard_components, linked
 from rasterlake.llm.substring_dedup import deep_nodes, prefix_groups, substring_dedup
-from rasterlake.llm.suffix_dedup import suffix_dedup
+from rasterlake.llm.suffix_dedup import Family, suffix_dedup
 
 LAST = (1 << 63) - 1
 
@@ -65,12 +65,35 @@ def brute_bytes(rows, width):
     return out
 
 
-@pytest.mark.parametrize("options", [{"width": 200}, {"width": 30, "batch": 5, "memory": 40}, {"width": 12, "gram": 3, "batch": 16, "memory": 500}])
+@pytest.mark.parametrize("options", [{"width": 200}, {"width": 30, "batch": 50, "memory": 40}, {"width": 12, "gram": 3, "batch": 160, "memory": 500}, {"width": 30, "crowd": 2}, {"width": 30, "crowd": 0, "batch": 20, "memory": 10}])
 def test_suffix_dedup(docs, options):
     got = suffix_dedup(docs, **options).drop("kept").collect()
     same(got, brute_bytes(rows_of(docs), options["width"]))
 
 
+def test_family_of_suffix_arrays():
+    """Levels hold all distinct windows in byte order, with the number of their places; every place of a repeated one is reported."""
+    rng = np.random.default_rng(7)
+    width, family, texts, counts = 6, Family(6), [], Counter()
+    for _ in range(40):
+        batch = [bytes(rng.choice([0, 97, 98, 255], int(rng.integers(6, 14))).astype(np.uint8)) for _ in range(int(rng.integers(1, 5)))]
+        n = rng.integers(1, 3, len(batch))
+        data, first = np.frombuffer(b"".join(batch), np.uint8), np.cumsum([0, *map(len, batch)])[:-1]
+        family.add(data, first, np.array([len(t) - width + 1 for t in batch]), n, len(texts))
+        texts += batch
+        for t, k in zip(batch, n.tolist()):
+            for p in range(len(t) - width + 1):
+                counts[t[p : p + width]] += k
+        sizes = [len(x) for x in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        for x in family.levels:
+            own = [bytes(s) for s in x.suffixes]
+            assert own == sorted(set(own)) and x.total.tolist() == [counts[s] for s in own]
+        assert sorted(bytes(s) for x in family.levels for s in x.suffixes) == sorted(counts)
+    got = {(c, w) for c, a, b in zip(*family.answers()) for w in range(a, b + 1)}
+    assert got == {(c, p) for c, t in enumerate(texts) for p in range(len(t) - width + 1) if counts[t[p : p + width]] > 1}
+
+
 def test_suffix_dedup_returns_what_is_left(spark):
     docs = spark.createDataFrame([(1, "-" + "abcdefghij" * 2 + "é"), (2, "abcdefghij" + "xy")], "doc_id long, text string")
     got = {r["doc_id"]: r["kept"] for r in suffix_dedup(docs, width=10, gram=3, with_kept=True).collect()}
@@ -94,7 +117,7 @@ def brute_words(rows, width):
     return out
 
 
-@pytest.mark.parametrize("options", [{"width": 13}, {"width": 5, "gram": 2, "limit": 8, "memory": 50}])
+@pytest.mark.parametrize("options", [{"width": 13}, {"width": 5, "gram": 2, "limit": 8, "memory": 50}, {"width": 5, "crowd": 2}, {"width": 5, "crowd": 0, "memory": 10}])
 def test_substring_dedup(docs, options):
     got = substring_dedup(docs, **options).drop("kept").collect()
     same(got, brute_words(rows_of(docs), options["width"]))
