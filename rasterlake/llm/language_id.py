@@ -81,6 +81,8 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 
 #: What stands before a text of fewer bytes: zstandard stores a block as it is unless that saves a few bytes, and a short text alone never does.
 PAD, SHORT = bytes(64), 512
+#: One of still fewer counts eight times, before runs of letters that make its block worth compressing: whole bytes of one total tell too little.
+TINY, RUNS = 128, [bytes([c]) for c in b"abcdefgh"]
 
 
 def letters(text: bytes) -> bytes:
@@ -134,26 +136,34 @@ class Classifier:
 
     def parts(self, text: bytes) -> list[bytes]:
         text = letters(text)
+        if len(text) < TINY:
+            return [PAD + text + b" " + 24 * c for c in RUNS]
         if len(text) < SHORT:
             text = PAD + text
         return [text[i : i + self.block] for i in range(0, len(text), self.block)]
 
     def sizes(self, texts: list[bytes]) -> list[list[float]]:
-        """Each text's totals, language by language."""
+        """Each text's totals, language by language; a tiny text's is the mean of its eight."""
         parts = [self.parts(text) for text in texts]
-        totals: list[list[int]] = [[] for _ in texts]
+        totals: list[list[float]] = [[] for _ in texts]
         for at in range(0, len(self.languages), self.held):
             compressors = self.compressors or self.loaded(at)
             for p, t in zip(parts, totals):
-                t += [sum(len(c.compress(x)) for x in p) for c in compressors]
+                t += [sum(len(c.compress(x)) for x in p) / self.times(p) for c in compressors]
         return [self.fair(p, t) for p, t in zip(parts, totals)]
 
+    @staticmethod
+    def times(parts: list[bytes]) -> int:
+        """How often parts hold their text."""
+        return len(RUNS) if len(parts) == len(RUNS) and parts[0].endswith(24 * RUNS[0]) else 1
+
     def fair(self, parts: list[bytes], sizes: list[int]) -> list[float]:
         """Totals as if all dictionaries were complete."""
         if len(sizes) == self.complete or self.complete < 2:
             return sizes
         second = sorted(range(self.complete), key=lambda i: sizes[i])[1]
-        worth = {n: sizes[second] / sum(len(self.cut(self.languages[second], n).compress(p)) for p in parts) for n in set(self.chars.values())}
+        full = sizes[second] * self.times(parts)
+        worth = {n: full / sum(len(self.cut(self.languages[second], n).compress(p)) for p in parts) for n in set(self.chars.values())}
         return sizes[: self.complete] + [s * min(1.0, worth[self.chars[lang]]) for lang, s in zip(self.languages[self.complete :], sizes[self.complete :])]
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
