@@ -11,6 +11,7 @@ executor leaves no half-written file. Files hold consecutive ranges of doc_id.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,10 +25,30 @@ from .common import NULL_ID, Powers, alphabet, byte_table, chunks, discard, orde
 
 #: Bytes of control streams to the byte lengths of their four ranks.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
-#: Texts are cut at these two, and between an ASCII letter and one of these marks; no token of the vocabulary spans such a place.
+#: Texts are cut at these two, and between an ASCII letter and one of these marks.
 PIECES = ~alphabet((0x20, 0x20), (0x0A, 0x0A))
 ASCII_LETTERS = alphabet((0x41, 0x5A), (0x61, 0x7A))
 MARKS = alphabet((0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
+#: How a tokenizer must see texts for pieces to be encoded apart, and whatever their case: no token spans a cut.
+CUT_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def may_be_cut(path: str) -> bool:
+    """Whether pieces give the ids of whole texts. Special tokens must not be cut, and must be told by `<|`, as case matters in them."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    special = [t["content"] for t in told["added_tokens"]]
+    whole = all(t.startswith("<|") and len(pieces(*_bytes(t))[0]) == 1 for t in special) and not any(t["lstrip"] or t["rstrip"] for t in told["added_tokens"])
+    return whole and told["normalizer"] == CUT_NORMALIZER and told["pre_tokenizer"] == CUT_PRE_TOKENIZER and told["model"]["type"] == "BPE" and not told["truncation"] and not told["padding"]
+
+
+def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return raw, np.array([0, len(raw)])
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,48 +65,78 @@ BLOCK = "shard int, block int, doc_ids binary, counts binary, control binary, da
 
 
 class Encoder:
-    """Encodes whole texts. A piece is encoded once, whatever the case of A-Z, and found again by its 64-bit hash."""
+    """Encodes whole texts. Where the tokenizer allows it, a piece is encoded once, whatever the case of A-Z, and found again by its 64-bit hash."""
 
     def __init__(self, path: str, most: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.cut = Tokenizer.from_file(path), most, may_be_cut(path)
         self.powers, self.folded, self.exact = Powers(71), byte_table(72, lower=True), byte_table(73)
+        self.slots = 1 << max(4, (2 * most - 1).bit_length())
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        #: A table of hashes and their numbers; a hash stands at its slot, or at the next free one.
+        self.keys, self.numbers, self.known = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), 0
         self.starts, self.counts, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of hashes, -1 for new ones."""
+        out, mask = np.full(len(hashes), -1, np.int64), np.uint64(self.slots - 1)
+        open_, at = np.arange(len(hashes)), hashes & mask
+        while len(open_):
+            key = self.keys[at]
+            same = key == hashes[open_]
+            out[open_[same]] = self.numbers[at[same]]
+            rest = ~same & (key != 0)
+            open_, at = open_[rest], at[rest] + np.uint64(1) & mask
+        return out
+
+    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.array([len(x) for x in got], np.int64)
-        starts = len(self.pool) + np.cumsum(counts) - counts
-        first = len(self.counts)
-        self.known.update(zip(hashes, range(first, first + len(got))))
+        starts, number = len(self.pool) + np.cumsum(counts) - counts, len(self.counts) + np.arange(len(got))
         self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.uint32)])
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        self.known += len(got)
+        mask, at = np.uint64(self.slots - 1), hashes & np.uint64(self.slots - 1)
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]  # of several for one slot, one stays
+            mine = free & (self.keys[at] == hashes)
+            self.numbers[at[mine]] = number[mine]
+            hashes, number, at = hashes[~mine], number[~mine], at[~mine] + np.uint64(1) & mask
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk of documents, and the number of ids of each document."""
+        if not self.cut:
+            whole = data.tobytes()
+            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
         starts, ends, first = pieces(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         whole = data.tobytes()
         # case matters in the names of special tokens only
         hashes = word_hashes(data, starts, ends, self.exact if b"<|" in whole else self.folded, self.powers)
-        distinct, one, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.most:
-            self.forget()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            self.learn([keys[i] for i in new], [whole[starts[j] : ends[j]].decode("utf-8", "replace") for j in one[new].tolist()])
-        entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[place.ravel()]
-        counts = self.counts[entry]
+        hashes[hashes == 0] = 1
+        number = self.find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            distinct, one = np.unique(hashes[new], return_index=True)
+            if self.known + len(distinct) > self.most:
+                self.forget()
+                distinct, one = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+                self.slots = max(self.slots, 1 << (2 * len(distinct)).bit_length())
+                self.keys, self.numbers = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+            self.learn(distinct, [whole[starts[j] : ends[j]].decode("utf-8", "replace") for j in new[one].tolist()])
+            number[new] = self.find(hashes[new])
+        counts = self.counts[number]
         total = np.concatenate([[0], np.cumsum(counts)])
-        return self.pool[ranges(self.starts[entry], counts)], np.diff(total[first])
+        return self.pool[ranges(self.starts[number], counts)], np.diff(total[first])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,11 +194,11 @@ def encoder_of(path: str) -> Encoder:
     return ENCODERS[path]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = 1 << 18) -> tuple[DataFrame, np.ndarray]:
-    """Writes the files in ascending doc_id order; returns their blocks and the id of each rank.
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = 1 << 18, range_bytes: int = 64 << 20, order: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Writes the files in ascending doc_id order, or that of the column `order`; returns their blocks and the id of each rank.
 
-    tokenizer is the path of a tokenizer file that is on every machine. Texts are encoded once, into files whose ranks
-    are the ids themselves; their counts, ties by id, give the ranks of the files that stay.
+    tokenizer is the path of a tokenizer file that is on every machine: any of the tokenizers library. Texts are encoded
+    once, into files whose ranks are the ids themselves; their counts, ties by id, give the ranks of the files that stay.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +213,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, block_ids: i
                 yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([doc_ids[a:b].astype("<i8").tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u8").tobytes()], pa.binary()), "control": pa.array([control], pa.binary()), "data": pa.array([payload], pa.binary()), "n_tokens": pa.array([len(ids)], pa.int64())})
                 block += 1
 
-    rows = docs.select(order_id().alias("doc_id"), "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select((F.col(f"`{order}`") if order else order_id()).alias("at"), order_id().alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    # rows of one id, or of none, are dealt by how their texts begin
+    ordered = rows.repartitionByRange(n, "at", "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("at", "doc_id", "text").select("doc_id", "text")
     plain = written(ordered.mapInArrow(encode, BLOCK), "ids")
     counted = {r["id"]: r["n"] for r in frequencies(plain).collect()}  # a row for each id of the vocabulary
     ranked = np.array(sorted(counted, key=lambda i: (-counted[i], i)), np.uint32)
@@ -205,13 +258,14 @@ def read_token_files(blocks: DataFrame, ranked: np.ndarray) -> DataFrame:
     return blocks.join(places, ["shard", "block"]).select("shard", "doc_ids", "counts", "control", "data", "n_tokens", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, order: str | None = None) -> DataFrame:
     """Writes the token files of docs and returns what reading them back gives, one row a document.
 
     A null or empty text has the end id only. Rows without a doc_id come last and have a null one; rows that repeat
-    a doc_id stand next to each other, ordered by text. An empty table gives an empty result.
+    a doc_id stand next to each other, ordered by text. With the name of a column as `order`, that comes before doc_id.
+    A very long text is a block of its own; other columns don't matter. An empty table gives an empty result.
     """
-    blocks, ranked = write_token_files(docs, tokenizer, end_id)
+    blocks, ranked = write_token_files(docs, tokenizer, end_id, order=order)
     return read_token_files(blocks, ranked).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -220,5 +274,3 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
