@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Each round replaces links by stars around smaller ids; the minimum of a node's neighbours is a partial aggregation and
-is joined back, so that a node with very many links is pre-aggregated and its join can be split. Rounds are written
-to the shared folder; their number is about the logarithm of the longest path.
+Each round replaces links by stars around smaller ids; the minimum of a node's neighbours is a partial aggregation,
+written, and joined back: both sides of the join are plain tables, so the links of a node with very many of them are dealt
+to several tasks. Rounds are written to the shared folder, and the tables of the round before removed; their number
+is about the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -18,10 +19,15 @@ def _fingerprint(links: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """a, m: the smallest of a and its neighbours."""
+    return written(links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: root is the smallest id of the node's component. links: a, b long; nodes without a link have no row."""
-    sided = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    stars = written(sided, "links")  # a > b
+    """node, root: root is the smallest id of the node's component. links: a, b long; nodes without a link have no row.
+    Links that do not settle in `rounds` rounds are an error."""
+    stars = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")  # a > b
     before = None
     for _ in range(rounds):
         now = _fingerprint(stars)
@@ -29,10 +35,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b"), F.col("b"))).distinct()
         before = now
         both = stars.union(stars.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = _least(both)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        stars = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        stars = written(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        large = written(large.union(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        small = _least(large)
+        made = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b")
+        made = written(made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        for old in (stars, least, large, small):
+            discard(old)
+        stars = made
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -344,7 +344,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     every, found, owners = _linked_nodes(docs, n, percent)
     smallest = found.join(owners, "node").groupBy("root").agg(F.min("owner").alias("component"))
     of_node = found.join(smallest, "root").select("node", "component")
-    labels = owners.join(of_node, "node", "left").select("node", F.coalesce("component", "owner").alias("component"))
+    # a plain table, so that the rows of a set that very many documents share are dealt to several tasks
+    labels = written(owners.join(of_node, "node", "left").select("node", F.coalesce("component", "owner").alias("component")), "labels")
     out = every.join(labels, "node", "left")
     known = lambda c: F.when(c != NULL_ID, c)
     return out.select(known(F.col("doc_id")).alias("doc_id"), "n_shingles", known(F.coalesce("component", "doc_id")).alias("component_id"))
