@@ -68,7 +68,7 @@ class Repeats(ABC):
     #: What an index returns: windows first..last of a context stand twice, the first time in row `least`.
     FOUND = "gram long, ctx long, first int, last int, least long"
 
-    def __init__(self, width: int, gram: int, other_document: bool, crowd: int = 1024):
+    def __init__(self, width: int, gram: int, other_document: bool, crowd: int = 512):
         """crowd: distinct contexts of a gram from which it is dealt by window (more in a corpus of over 2**16 times as many)."""
         self.width, self.gram, self.other_document, self.crowd = width, gram, other_document, crowd
 

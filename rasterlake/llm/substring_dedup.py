@@ -59,7 +59,7 @@ def deep_nodes(suffixes: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.n
 class WordRepeats(Repeats):
     """limit: suffixes of a group's tree. memory: suffixes that are gathered before they are split, between two deals."""
 
-    def __init__(self, width: int = 13, gram: int = 4, limit: int = 1 << 16, memory: int = 1 << 18, crowd: int = 1024):
+    def __init__(self, width: int = 13, gram: int = 4, limit: int = 1 << 16, memory: int = 1 << 18, crowd: int = 512):
         super().__init__(width, gram, other_document=True, crowd=crowd)
         self.limit, self.memory = limit, memory
         self.powers, self.table = Powers(31), byte_table(32)

@@ -111,7 +111,7 @@ class Family:
 class SuffixRepeats(Repeats):
     """batch: windows of a batch, about. memory: suffixes in a family from which on it is closed, between two deals."""
 
-    def __init__(self, width: int = 200, gram: int = 64, batch: int = 1 << 15, memory: int = 1 << 17, crowd: int = 1024):
+    def __init__(self, width: int = 200, gram: int = 64, batch: int = 1 << 15, memory: int = 1 << 17, crowd: int = 512):
         super().__init__(width, gram, other_document=False, crowd=crowd)
         self.batch, self.memory, self.table = batch, memory, byte_table(13)
 
