@@ -74,7 +74,8 @@ def streams(keyed: DataFrame, counts: dict[int, int]) -> DataFrame:
 
 def mixed(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, max_slots: int = 1 << 20, seed: str = "mix") -> DataFrame:
     """What the mix takes of each document: row (a struct of docs' columns `carry`), size, source_size, target, taken (words),
-    first_slot (the first slot with words of it, null if there is none).
+    first_slot (the first slot with words of it, null if there is none), passes (slot and words of each pass of the
+    stream that takes some of it, in order; null if there is none).
 
     A slot is ceil(all words / max_slots) words long. A source's slots take its stream from the beginning, and again
     where it ends, but never more than `most` times; so no document is above `most` times its size. Rows without a
@@ -101,15 +102,17 @@ def mixed(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHT
     # each pass over a document: its words in the repeated stream, and the blocks that they touch
     at = F.col("start") + F.col("pass") * F.col("source_size")
     passes = stream.where("size > 0").select("uid", "number", "size", "most", "start", "source_size", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1))).alias("pass"))
-    passes = passes.select("uid", "number", at.alias("low"), F.least(at + F.col("size"), F.col("most")).alias("high")).where("low < high")
+    passes = passes.select("uid", "pass", "number", at.alias("low"), F.least(at + F.col("size"), F.col("most")).alias("high")).where("low < high")
     cut = F.lit(length)
-    touched = passes.select("uid", "number", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cut), F.floor((F.col("high") - 1) / cut))).alias("rank"))
+    touched = passes.select("uid", "pass", "number", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cut), F.floor((F.col("high") - 1) / cut))).alias("rank"))
     words = F.least("high", (F.col("rank") + 1) * cut) - F.greatest("low", F.col("rank") * cut)
-    blocks = touched.select("uid", "number", "rank", words.alias("words"))
+    blocks = touched.select("uid", "pass", "number", "rank", words.alias("words"))
     slots = schedule(spark, target, math.ceil(total / length))
-    taken = blocks.join(slots, ["number", "rank"]).groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    got = blocks.join(slots, ["number", "rank"]).groupBy("uid", "pass").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    # `most` passes at most
+    taken = got.groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sort_array(F.collect_list(F.struct("slot", "words"))).alias("passes"))
     out = rows.join(F.broadcast(sources), "src").join(taken, "uid", "left")
-    return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "passes")
 
 
 def mix(docs: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
