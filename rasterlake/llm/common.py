@@ -169,16 +169,27 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches of 16 MB at most: texts differ in length, and a worker holds a batch several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """The session, with Arrow batches of 16 MB at most: texts differ in length, and a worker holds a batch several times over.
+    The setting is read when a plan runs, after the operator has returned it, so it stays; a smaller one is left as it is."""
+    now = spark.conf.get(BATCH).removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= 16 << 20):
+        spark.conf.set(BATCH, str(16 << 20))
     return spark
 
 
+#: Tables that `written` made and nothing has removed: results that were not read yet may need them.
+HELD: list[DataFrame] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it does not run df's plan again, whatever executors are lost.
 
-    Its shuffle files go once it is written; nothing runs its plan again.
+    Its shuffle files go once it is written; nothing runs its plan again. `release` removes the tables of all results
+    that have been read.
     """
     spark = bounded(df.sparkSession)
     path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
@@ -187,7 +198,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    HELD.append(spark.read.schema(df.schema).parquet(path))
+    return HELD[-1]
 
 
 def discard(df: DataFrame) -> None:
@@ -196,6 +208,16 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    HELD[:] = [x for x in HELD if x is not df]
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all tables of this session's operators that are still there, and says how many. Results that are wanted later
+    must have been written before."""
+    mine = [x for x in HELD if x.sparkSession is spark]
+    for x in mine:
+        discard(x)
+    return len(mine)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -280,12 +280,12 @@ def test_code_of_token_files():
         assert (unpack(*pack(ranks), n) == ranks).all()
 
 
-def brute_tokens(rows):
+def brute_tokens(rows, name="word_bpe_49k.json", end=2, ordered=False):
     from tokenizers import Tokenizer
 
-    t, start, out = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), 0, []
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+    t, start, out = Tokenizer.from_file(vocabulary(name)), 0, []
+    for i, text in rows if ordered else sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
         out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     return out
@@ -297,6 +297,15 @@ def test_token_files(docs):
     assert sorted(got, key=lambda r: r[1]) == brute_tokens(rows)
 
 
+def test_tokens_of_another_tokenizer(spark, small):
+    texts = ["a b  c　d", "Don't I'LL <|endoftext|>X", "\t\ttab\r\nline", "日本語 テスト 🙂🙂  🙂", None, "", " x."]
+    docs = small.select("doc_id", "text").limit(60).union(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = [tuple(r) for r in token_files(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json"), 50256).collect()]
+    assert sorted(got, key=lambda r: r[1]) == brute_tokens(rows, "byte_bpe_50k.json", 50256)
+    assert Encoder(vocabulary("word_bpe_49k.json")).cut and not Encoder(vocabulary("byte_bpe_50k.json")).cut
+
+
 def test_pieces_encode_as_whole_texts(spark):
     texts = ["a b c　d", "é ́x don't I'll <|endoftext|>x <|startoftext|> İΣΣ Σ.", "\t\ttab\r\nline\x0b\x0c\x85next z", "日本語 テスト 🙂🙂  🙂", "a" * 3000, "\x00\x01 b", " ", "\n\n", "1234 5,6 __x__ ǅ ﬁ"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -313,7 +322,9 @@ def test_token_blocks_and_forgetting(spark, small):
     forgetful, data = Encoder(path, most=10), np.frombuffer(b"one two three four five six seven eight nine ten eleven one two", np.uint8)
     a = forgetful.encode(data, np.array([0, len(data)]))
     b = Encoder(path).encode(data, np.array([0, len(data)]))
-    assert (a[0] == b[0]).all() and len(forgetful.known) == 11
+    assert (a[0] == b[0]).all() and forgetful.known == 11
+    again = forgetful.encode(data, np.array([0, len(data)]))
+    assert (a[0] == again[0]).all() and forgetful.known == 11
 
 
 def test_sharding(docs):
