@@ -318,7 +318,8 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, le
     blocks = counts.select("root", "class", F.ceil(F.col("size") / per_block).cast("int").alias("own"))
     beside = lambda step, name: blocks.select("root", (F.col("class") + step).alias("class"), F.col("own").alias(name))
     blocks = blocks.join(beside(1, "below"), ["root", "class"], "left").join(beside(-1, "above"), ["root", "class"], "left").na.fill(0, ["below", "above"])
-    wanted = members.join(blocks, ["root", "class"])
+    # a plain table, so that the members of a very large cluster are dealt to several tasks
+    wanted = members.join(written(blocks, "blocks"), ["root", "class"])
     texts = docs.select(order_id().alias("owner"), "text")
     rows = texts.join(wanted, "owner").select("text", "root", "node", "class", "below", "own", "above")
     rows = rows.mapInArrow(sets, "root long, node long, class int, below int, own int, above int, columns binary")
