@@ -156,13 +156,17 @@ def normal_quantile(p: Column) -> Column:
     return F.lit(math.sqrt(2)) * java(SPECIAL + "Erf.erfInv", p * 2 - 1)
 
 
-def utm(lon: str | Column, lat: str | Column, zone: int) -> tuple[Column, Column]:
-    """Easting and northing of the northern half of a UTM zone on the WGS 84 ellipsoid, by the Krueger series."""
+def _utm_series() -> tuple[float, float, float]:
+    """Third flattening, its square root's factor e, and the rectifying radius of the WGS 84 ellipsoid."""
     a, f = 6378137.0, 1 / 298.257223563
     n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    return n, 2 * math.sqrt(n) / (1 + n), a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+
+
+def utm(lon: str | Column, lat: str | Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing of a UTM zone on the WGS 84 ellipsoid, by the Krueger series; northings of the southern half begin at 10,000 km."""
+    n, e, radius = _utm_series()
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    e = 2 * math.sqrt(n) / (1 + n)
     phi, lam = F.radians(c(lat)), F.radians(c(lon) - (zone * 6 - 183))
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
@@ -170,4 +174,22 @@ def utm(lon: str | Column, lat: str | Column, zone: int) -> tuple[Column, Column
     for j, x in enumerate(alpha, 1):
         east = east + x * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + x * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000.0 + 0.9996 * radius * east, 0.9996 * radius * north
+    return 500000.0 + 0.9996 * radius * east, (1e7 if south else 0.0) + 0.9996 * radius * north
+
+
+def lonlat(easting: str | Column, northing: str | Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude of UTM coordinates: the series the other way."""
+    n, _, radius = _utm_series()
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = (c(northing) - (1e7 if south else 0.0)) / (0.9996 * radius)
+    eta = (c(easting) - 500000.0) / (0.9996 * radius)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.lit(float(zone * 6 - 183)) + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(phi)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,13 +13,59 @@ from ..functions.scalar import block_id
 PIXEL = ["row", "col"]
 
 
+@dataclass(frozen=True)
+class Transform:
+    """A north-up grid: its upper left corner, cell sizes, rows and columns."""
+
+    west: float
+    north: float
+    width: float
+    height: float
+    rows: int
+    cols: int
+
+
+def cells_of(points: DataFrame, x: str, y: str, grid: Transform) -> DataFrame:
+    """points with the row and col of the cell that they stand in; NULL off the grid. A point on a border belongs to the cell to its right or below."""
+    row = F.floor((F.lit(grid.north) - F.col(y)) / F.lit(grid.height)).cast("int")
+    col = F.floor((F.col(x) - F.lit(grid.west)) / F.lit(grid.width)).cast("int")
+    on = row.between(0, grid.rows - 1) & col.between(0, grid.cols - 1)
+    return points.withColumns({"row": F.when(on, row), "col": F.when(on, col)})
+
+
+def centres(cells: DataFrame, grid: Transform, x: str = "x", y: str = "y") -> DataFrame:
+    """cells with their centres' coordinates."""
+    return cells.withColumns({x: F.lit(grid.west) + (F.col("col") + 0.5) * grid.width, y: F.lit(grid.north) - (F.col("row") + 0.5) * grid.height})
+
+
+def align(source: DataFrame, source_grid: Transform, target: DataFrame, target_grid: Transform, value: str, project=None, out: str | None = None) -> DataFrame:
+    """value of a grid on the cells of another, bilinear, by their transforms; offsets and cell sizes may differ. project maps the
+    target's x and y columns to the source's coordinates, where the systems differ (`utm`, `lonlat`)."""
+    at = centres(target.select(*PIXEL), target_grid, "_px", "_py")
+    x, y = project(F.col("_px"), F.col("_py")) if project else (F.col("_px"), F.col("_py"))
+    at = at.withColumns({"_y": (F.lit(source_grid.north) - y) / source_grid.height - 0.5, "_x": (x - F.lit(source_grid.west)) / source_grid.width - 0.5})
+    return _four_corners(source, at.select(*PIXEL, "_y", "_x"), value, out or value)
+
+
+def finer_grid(df: DataFrame, scale: float) -> DataFrame:
+    """row, col of a grid over df's extent whose cells are 1 / scale of its size; its rows are dealt out before they get columns."""
+    size = df.agg(F.floor((F.max("row") + 1) * scale).cast("int").alias("h"), F.floor((F.max("col") + 1) * scale).cast("int").alias("w"))  # one row
+    rows = size.where("h > 0 AND w > 0").select(F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row"), "w").repartition("row")
+    return rows.select("row", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("col"))
+
+
 def bilinear(source: DataFrame, target: DataFrame, value: str, scale: float, out: str | None = None) -> DataFrame:
     """value of a grid whose cells are `scale` times the target's, at the target's cell centres.
 
     Each target cell reads its four neighbours with bilinear weights; missing ones give their weight to the rest.
     """
     y, x = (F.col("row") + 0.5) / scale - 0.5, (F.col("col") + 0.5) / scale - 0.5
-    t = target.select(*PIXEL).withColumns({"_y": y, "_x": x}).withColumns({"_r": F.floor("_y").cast("int"), "_c": F.floor("_x").cast("int")})
+    return _four_corners(source, target.select(*PIXEL).withColumns({"_y": y, "_x": x}), value, out or value)
+
+
+def _four_corners(source: DataFrame, at: DataFrame, value: str, out: str) -> DataFrame:
+    """Bilinear values at fractional rows _y and columns _x of a source."""
+    t = at.withColumns({"_r": F.floor("_y").cast("int"), "_c": F.floor("_x").cast("int")})
     fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
     corner = lambda dr, dc, w: F.named_struct(F.lit("sr"), F.col("_r") + dr, F.lit("sc"), F.col("_c") + dc, F.lit("w"), w)
     four = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
@@ -26,7 +73,7 @@ def bilinear(source: DataFrame, target: DataFrame, value: str, scale: float, out
     got = wanted.join(source.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).alias("_v")), ["sr", "sc"], "left")
     used = F.when(F.col("_v").isNotNull(), F.col("w"))
     total = F.sum(used)
-    return got.groupBy(*PIXEL).agg(F.when(total > 1e-12, F.sum(used * F.col("_v")) / total).alias(out or value))
+    return got.groupBy(*PIXEL).agg(F.when(total > 1e-12, F.sum(used * F.col("_v")) / total).alias(out))
 
 
 def coarsen(df: DataFrame, factor: int, values: list[str], height: Column | None = None, width: Column | None = None) -> DataFrame:

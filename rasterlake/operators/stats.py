@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +18,35 @@ def _part(df: DataFrame, value: str, parts: int = PARTS) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e <= F.col(value)))
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean. Distinct values are counted first; a window ranks the values of one part, and the parts' sums place the parts, so that no task sorts all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).withColumn("_part", _part(df, value))
-    sums = counts.groupBy("_part").agg(F.sum("_n").alias("_all"))
+def ranks_of_counts(counts: DataFrame, value: str, n: str, out: str) -> DataFrame:
+    """value, out (ranks from 1, ties sharing their mean), out_ties of distinct values that stand n times each. A window
+    ranks the values of one part, and the parts' sums place the parts, so that no task sorts all values."""
+    counts = counts.withColumn("_part", _part(counts, value))
+    sums = counts.groupBy("_part").agg(F.sum(n).alias("_all"))
     before = sums.select("_part", (F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).alias("_before"))  # a row a part
-    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum(n).over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     ranks = counts.withColumn("_upto", upto).join(F.broadcast(before), "_part")
-    ranks = ranks.select(F.col(value), (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out), F.col("_n").alias(out + "_ties"))
-    return df.join(ranks, value, "left")
+    return ranks.select(F.col(value), (F.col("_before") + F.col("_upto") - (F.col(n) - 1) / 2).alias(out), F.col(n).alias(out + "_ties"))
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with the ranks of its values: distinct values are counted first."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    return df.join(ranks_of_counts(counts, value, "_n", out), value, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, rho, p (two-sided, Student's t) over pairs where both are there."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-    r = ranked.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    """n, rho, p (two-sided, Student's t) over pairs where both are there. Equal pairs are one row with their number from the
+    beginning, so a frequent value is no hot key; the correlation of ranks comes from weighted sums around their known mean."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("m"))
+    one, two = (ranks_of_counts(pairs.groupBy(c).agg(F.sum("m").alias("_n")), c, "_n", "r" + c).select(c, "r" + c) for c in ("x", "y"))
+    ranked = pairs.join(one, "x").join(two, "y")
+    total = pairs.agg(F.sum("m").alias("n"))  # one row
+    mid = (F.col("n") + 1) / 2
+    a, b, m = F.col("rx") - mid, F.col("ry") - mid, F.col("m")
+    r = ranked.join(F.broadcast(total)).agg(F.sum("m").alias("n"), F.sum(m * a * b).alias("_ab"), F.sum(m * a * a).alias("_aa"), F.sum(m * b * b).alias("_bb"))
+    norm = F.sqrt("_aa") * F.sqrt("_bb")
+    r = r.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(norm > 0, F.col("_ab") / norm).alias("rho"))
     df_ = (F.col("n") - 2).cast("double")
     t2 = F.col("rho") * F.col("rho") * df_ / (1 - F.col("rho") * F.col("rho"))
     p = F.when(F.abs(F.col("rho")) >= 1, 0.0).otherwise(beta_i(df_ / (df_ + t2), df_ / 2, F.lit(0.5)))
@@ -39,11 +54,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
-    """n, h (corrected for ties), p (chi-squared)."""
-    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(group).alias("g"))
-    ranked = average_ranks(rows, "v", "r")
-    groups = ranked.groupBy("g").agg(F.sum("r").alias("s"), F.count("*").alias("m"))
-    ties = rows.groupBy("v").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    """n, h (corrected for ties), p (chi-squared). Equal values of a group are one row with their number."""
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).cast("double").alias("v"), F.col(group).alias("g")).agg(F.count("*").alias("m"))
+    counts = rows.groupBy("v").agg(F.sum("m").alias("_n"))
+    ranked = rows.join(ranks_of_counts(counts, "v", "_n", "r"), "v")
+    groups = ranked.groupBy("g").agg(F.sum(F.col("r") * F.col("m")).alias("s"), F.sum("m").alias("m"))
+    t = F.col("_n").cast("double")
+    ties = counts.agg(F.sum(t * t * t - t).alias("ties"))
     h = groups.agg(F.sum(F.col("s") * F.col("s") / F.col("m")).alias("ss"), F.sum("m").alias("n"), F.count("*").alias("k")).join(F.broadcast(ties))
     n = F.col("n").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("ss") - (n + 1) * 3
@@ -51,15 +68,57 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     return h.select("n", "h", gamma_q((F.col("k") - 1) / F.lit(2.0), F.col("h") / 2).alias("p"))
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, accuracy: int = 50_000) -> DataFrame:
+    """by, q: exact linear-interpolated quantiles, NULL without values, without all values in one task.
+
+    A mergeable sketch brackets each quantile between two values that are a few rows in `accuracy` apart; a second pass counts
+    the rows below each bracket and the distinct values inside, of which the ones at the wanted places are picked. In
+    small tables a place may be the one before or behind a bracket, so those two values are kept, too.
+    """
+    by, v = by or [], F.col(value).cast("double")
+    eps = 4 / accuracy
+    rows = df.where(F.col(value).isNotNull()).select(*by, v.alias("_v"))
+    edges = lambda sign: F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, p + sign * eps))) for p in probs]), accuracy)
+    aggs = [F.count("*").alias("_n"), edges(-1).alias("_lo"), edges(1).alias("_hi")]
+    bounds = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)  # a row for each group of `by`
+    met = rows.join(F.broadcast(bounds.drop("_n")), by) if by else rows.join(F.broadcast(bounds.drop("_n")))
+    k = len(probs)
+    inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda e: F.col("_v").between(e["_lo"], e["_hi"]))
+    below = [F.sum(F.when(F.col("_v") < F.col("_lo")[i], 1).otherwise(0)).alias(f"_b{i}") for i in range(k)]
+    beside = [x for i in range(k) for x in (F.max(F.when(F.col("_v") < F.col("_lo")[i], F.col("_v"))).alias(f"_p{i}"), F.min(F.when(F.col("_v") > F.col("_hi")[i], F.col("_v"))).alias(f"_n{i}"))]
+    counts = met.groupBy(*by, F.when(inside, F.col("_v")).alias("_at")).agg(F.count("*").alias("_m"), *below, *beside)
+    last = [F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_m").alias("m"))))).alias("_list"), *[f(f"{c}{i}").alias(f"{c}{i}") for i in range(k) for f, c in ((F.sum, "_b"), (F.max, "_p"), (F.min, "_n"))]]
+    got = counts.groupBy(*by).agg(*last) if by else counts.agg(*last)
+    got = got.join(bounds, by) if by else got.join(F.broadcast(bounds))
+
+    def at(i: int, index: Column) -> Column:
+        """The value at a place, by running counts over the bracket's values."""
+        own = F.filter("_list", lambda e: e["at"].between(F.col("_lo")[i], F.col("_hi")[i]))
+        start = F.struct(F.col(f"_b{i}").alias("upto"), F.lit(None).cast("double").alias("found"))
+        step = lambda s, e: F.struct((s["upto"] + e["m"]).alias("upto"), F.when(s["found"].isNull() & (s["upto"] + e["m"] > index), e["at"]).otherwise(s["found"]).alias("found"))
+        return F.when(index < F.col(f"_b{i}"), F.col(f"_p{i}")).otherwise(F.coalesce(F.aggregate(own, start, step)["found"], F.col(f"_n{i}")))
+
+    out = []
+    for i, p in enumerate(probs):
+        place = F.lit(p) * (F.col("_n") - 1)
+        low, high = at(i, F.floor(place)), at(i, F.ceil(place))
+        share = place - F.floor(place)
+        # as percentile() weighs them
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + share * high))
+    return got.select(*by, F.array(*out).alias("q"))
+
+
 def quantile_strata(df: DataFrame, value: str, n: int = 4, out: str = "stratum") -> DataFrame:
     """The number of inner quantile edges at or below the value."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_edges"))  # one row
+    edges = exact_quantiles(df, value, [i / n for i in range(1, n)]).select(F.col("q").alias("_edges"))  # one row
     return df.join(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(value))))).drop("_edges")
 
 
 def stratum_stats(df: DataFrame, value: str, stratum: str = "stratum") -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.where(F.col(value).isNotNull() & F.col(stratum).isNotNull()).groupBy(stratum).agg(F.avg(value).alias("mean"), q(0.5).alias("median"), F.stddev_pop(value).alias("std"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.count("*").alias("n"))
+    rows = df.where(F.col(value).isNotNull() & F.col(stratum).isNotNull()).select(stratum, value)
+    sums = rows.groupBy(stratum).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
+    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], [stratum])
+    return sums.join(q, stratum).select(stratum, "mean", F.col("q")[1].alias("median"), "std", F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "n")
 
 
 def share(condition: Column) -> Column:
@@ -69,7 +128,9 @@ def share(condition: Column) -> Column:
 
 def change_summary(df: DataFrame, value: str, threshold: float = 0.05) -> DataFrame:
     v = F.col(value)
-    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.lit(0.1)).alias("p10"), F.percentile(v, F.lit(0.9)).alias("p90"), share(v > threshold).alias("wet_pct"), share(v < -threshold).alias("dry_pct"), share(F.abs(v) <= threshold).alias("neutral_pct"))
+    sums = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), share(v > threshold).alias("wet_pct"), share(v < -threshold).alias("dry_pct"), share(F.abs(v) <= threshold).alias("neutral_pct"))
+    q = exact_quantiles(df, value, [0.1, 0.9])  # one row each
+    return sums.join(F.broadcast(q)).select("n", "mean", "std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "wet_pct", "dry_pct", "neutral_pct")
 
 
 def regression_metrics(df: DataFrame, obs: str = "obs", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -120,3 +181,24 @@ def per_class_scores(df: DataFrame, n_classes: int, pred: str = "pred", target:
 
 def mean_iou(df: DataFrame, n_classes: int, pred: str = "pred", target: str = "target") -> DataFrame:
     return per_class_scores(df, n_classes, pred, target).agg(F.avg("iou").alias("miou"))
+
+
+def report(df: DataFrame, wet: str, dry: str, index: str, wetness: str, slope: str, checkpoint, n: int = 4) -> DataFrame:
+    """name, value: rank correlations, rank tests by quantile strata of wetness and slope, statistics of both seasons by strata of
+    wetness, and the index's summary. df's rows have all five values; with their strata they are read several times, so
+    `checkpoint` cuts the plan there."""
+    x = checkpoint(quantile_strata(quantile_strata(df.select(wet, dry, index, wetness, slope), wetness, n, "_t"), slope, n, "_s"))
+    row = lambda d, name, v, digits=6: d.select(name.alias("name"), (F.round(F.col(v).cast("double"), digits) + F.lit(0.0)).alias("value"))
+    parts = [row(spearman(x, a, b), F.lit(f"spearman_{a}_{b}"), "rho") for a, b in ((index, wetness), (index, slope), (wet, dry), (wet, wetness))]
+    parts += [row(kruskal_wallis(x, v, g), F.lit(f"kruskal_{v}_by_{by}"), "h", 4) for v, g, by in ((wet, "_t", wetness), (dry, "_t", wetness), (index, "_t", wetness), (wet, "_s", slope))]
+    for v in (wet, dry):
+        s = stratum_stats(x, v, "_t")
+        parts.append(_unpivoted(s, [c for c in s.columns if c != "_t"], lambda c, v=v: F.concat(F.lit(f"{v}_{c}_"), F.col("_t").cast("string"))))
+    s = change_summary(x, index).drop("n")
+    parts.append(_unpivoted(s, s.columns, lambda c: F.lit(f"{index}_{c}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unpivoted(df: DataFrame, columns: list[str], name) -> DataFrame:
+    pairs = F.array(*[F.struct(name(c).alias("name"), (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias("value")) for c in columns])
+    return df.select(F.inline(pairs))

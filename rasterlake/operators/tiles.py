@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,21 +29,28 @@ def tile_blocks(tiles: DataFrame, block_km: float, pixel_m: float) -> DataFrame:
     return b.join(F.broadcast(most)).select("r0", "c0", "h", "w", (F.col("br") * F.col("m") + F.col("bc")).cast("long").alias("block_id"))
 
 
-def split_blocks(blocks: list[int], ratios=(0.7, 0.15, 0.15), seed: int = 42) -> dict[int, str]:
-    """train, val or test of each block: a seeded permutation of the distinct blocks, cut at rounded counts."""
+def assign_split(df: DataFrame, unit: str | list[str] = "block_id", ratios=(0.7, 0.15, 0.15), seed: int = 42, rounded: bool = True) -> DataFrame:
+    """df with a split: whole units (blocks, chips) in the order of a seeded hash, cut at the ratios' counts. Counts are rounded for
+    blocks, and cut off for chips (rounded=False); what remains is test. Units are ranked in parts, whose counts place them."""
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must sum to 1")
-    distinct = np.array(sorted(set(blocks)))
-    mixed = np.random.default_rng(seed).permutation(distinct)
-    a = round(len(mixed) * ratios[0])
-    b = a + round(len(mixed) * ratios[1])
-    return {int(x): "train" if i < a else "val" if i < b else "test" for i, x in enumerate(mixed)}
+    keys = [unit] if isinstance(unit, str) else list(unit)
+    units = df.select(*keys).distinct().withColumn("_h", F.xxhash64(*keys, F.lit(seed))).withColumn("_part", F.shiftright("_h", 56))
+    counts = units.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # 256 rows
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    whole = F.round if rounded else F.floor
+    first, second = whole(F.col("_all") * F.lit(ratios[0])), whole(F.col("_all") * F.lit(ratios[1]))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_h", *keys)) - 1
+    placed = units.join(F.broadcast(before), "_part").withColumn("_place", place).join(F.broadcast(total))
+    split = F.when(F.col("_place") < first, "train").when(F.col("_place") < first + second, "val").otherwise("test")
+    return df.join(placed.select(*keys, split.alias("split")), keys)
 
 
-def assign_split(df: DataFrame, block: str = "block_id", ratios=(0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """df with its blocks' split; the blocks of a grid are few and gathered on the driver."""
-    made = split_blocks([r[0] for r in df.select(block).distinct().collect()], ratios, seed)
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(list(made.items()), f"{block} long, split string")), block)
+def paired(names: DataFrame, left: str, right: str, name: str = "name") -> DataFrame:
+    """key, left, right: the files of two kinds that have the same name but for the kinds' endings."""
+    kind = lambda end, out: names.where(F.col(name).endswith(end)).select(F.expr(f"substring({name}, 1, length({name}) - {len(end)})").alias("key"), F.col(name).alias(out))
+    return kind(left, "left").join(kind(right, "right"), "key")
 
 
 def pad_tile(df: DataFrame, r0: int, c0: int, size: int, fills: dict[str, float | None]) -> DataFrame:
@@ -56,8 +62,8 @@ def pad_tile(df: DataFrame, r0: int, c0: int, size: int, fills: dict[str, float
     return joined.select((F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), *[F.coalesce(F.col(v), F.lit(x).cast("double")).alias(v) for v, x in fills.items()])
 
 
-def augment(df: DataFrame, op: str, height: int, width: int) -> DataFrame:
-    """hflip, vflip or rot90 (counter-clockwise) of coordinates; all values move with them."""
+def augment(df: DataFrame, op: str, height: int | Column, width: int | Column) -> DataFrame:
+    """hflip, vflip or rot90 (counter-clockwise) of coordinates; all values, features and labels alike, move with them."""
     r, c = F.col("row"), F.col("col")
     moved = {"hflip": (r, width - 1 - c), "vflip": (height - 1 - r, c), "rot90": (width - 1 - c, r)}
     if op not in moved:
@@ -65,6 +71,15 @@ def augment(df: DataFrame, op: str, height: int, width: int) -> DataFrame:
     return df.withColumns({"row": moved[op][0].cast("int"), "col": moved[op][1].cast("int")})
 
 
+def cut(df: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """The pixels of every tile, by the tile's own row and col, with its r0, c0, h, w: an equi-join on coarse cells with the rest as a filter."""
+    cells = lambda a, n: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(a) + F.col(n) - 1) / size))
+    t = tiles.withColumn("_br", F.explode(cells("r0", "h"))).withColumn("_bc", F.explode(cells("c0", "w")))
+    x = df.withColumns({"_br": F.floor(F.col("row") / size), "_bc": F.floor(F.col("col") / size)})
+    both = x.join(t, ["_br", "_bc"]).where("row >= r0 AND row < r0 + h AND col >= c0 AND col < c0 + w").drop("_br", "_bc")
+    return both.withColumns({"row": F.col("row") - F.col("r0"), "col": F.col("col") - F.col("c0")})
+
+
 def channel_stats(df: DataFrame, channel: str = "c", value: str = "v", weight: Column | None = None) -> DataFrame:
     """mean and std (population, floored) of each channel's values that are there, each as often as its weight says."""
     w = F.when(F.col(value).isNotNull(), F.lit(1.0) if weight is None else weight)
@@ -73,12 +88,9 @@ def channel_stats(df: DataFrame, channel: str = "c", value: str = "v", weight: C
 
 
 def tile_multiplicity(df: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    """df with `tiles`, the number of tiles that hold each pixel: an equi-join on coarse cells with the rest as a filter."""
-    cells = lambda a, n: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(a) + F.col(n) - 1) / size))
-    t = tiles.withColumn("_br", F.explode(cells("r0", "h"))).withColumn("_bc", F.explode(cells("c0", "w")))
-    x = df.withColumns({"_br": F.floor(F.col("row") / size), "_bc": F.floor(F.col("col") / size)})
-    both = x.join(t, ["_br", "_bc"]).where("row >= r0 AND row < r0 + h AND col >= c0 AND col < c0 + w")
-    return both.groupBy(*df.columns).agg(F.count("*").alias("tiles"))
+    """df with `tiles`, the number of tiles that hold each pixel."""
+    x = cut(df, tiles, size).withColumns({"row": F.col("row") + F.col("r0"), "col": F.col("col") + F.col("c0")})
+    return x.groupBy(*df.columns).agg(F.count("*").alias("tiles"))
 
 
 def normalize(df: DataFrame, stats: DataFrame, channel: str = "c", value: str = "v", out: str = "z", fill: float | None = 0.0) -> DataFrame:
@@ -110,8 +122,18 @@ def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 
 def subsample(df: DataFrame, most: int, *keys: str) -> DataFrame:
-    """At most `most` rows, those with the smallest hash of their keys."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(most)
+    """At most `most` rows, those with the smallest hash of their keys. Counts of the hash's upper bits tell up to where all
+    rows stay and which few are left to be sorted."""
+    rows = df.withColumn("_h", F.xxhash64(*keys)).withColumn("_top", F.shiftright("_h", 48))
+    counts = rows.groupBy("_top").agg(F.count("*").alias("_n"))  # 65536 rows at most
+    upto = F.sum("_n").over(Window.orderBy("_top"))
+    edge = counts.select("_top", upto.alias("_upto"), (upto - F.col("_n")).alias("_before")).where((F.col("_upto") > most) & (F.col("_before") <= most))
+    edge = edge.agg(F.min("_top").alias("_edge"), F.min("_before").alias("_kept"))  # one row, of nulls if all rows stay
+    met = rows.join(F.broadcast(edge))
+    sure = met.where(F.col("_edge").isNull() | (F.col("_top") < F.col("_edge")))
+    place = F.row_number().over(Window.partitionBy("_top").orderBy("_h", *keys))
+    rest = met.where(F.col("_top") == F.col("_edge")).withColumn("_place", place).where(F.col("_place") <= most - F.col("_kept")).drop("_place")
+    return sure.unionByName(rest).select(*df.columns)
 
 
 def first_k(df: DataFrame, order: Column | str, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from .tables import checkpointed
 from ..operators import climate, hydrology, ml, resample, stats, stencil, temporal, tiles
+from ..sources import acquire
 from ..sources import virtual as V
 from ..sources.files import catalog, coverage_url
 
@@ -241,12 +242,6 @@ def curvature(spark, sf_dir):
     return rounded(stencil.curvature(V.dem(spark, sf_dir)))
 
 
-@query()
-def fill_depressions(spark, sf_dir):
-    """filling"""
-    return rounded(hydrology.fill_depressions(V.dem(spark, sf_dir)))
-
-
 _DROPS = ", ".join(f"{{'o': {k}, 'dr': {dr}, 'dc': {dc}, 'drop': (e - {n}) / {float((dr * dr + dc * dc) ** 0.5)!r}}}" for k, (n, (dr, dc)) in enumerate(hydrology.STEPS.items()))
 D8 = f"""n AS (SELECT "row", col, elev AS e, lag(elev) OVER dn AS b, lead(elev) OVER dn AS h FROM vr_dem WINDOW dn AS (PARTITION BY col ORDER BY "row")),
     w AS (SELECT *, lag(b) OVER al AS a, lead(b) OVER al AS c, lag(e) OVER al AS d, lead(e) OVER al AS f, lag(h) OVER al AS g, lead(h) OVER al AS i FROM n WINDOW al AS (PARTITION BY "row" ORDER BY col)),
@@ -262,26 +257,61 @@ def d8_accumulation(spark, sf_dir):
     return hydrology.d8_accumulation(V.dem(spark, sf_dir), checkpoint=checkpointed)
 
 
-@query()
-def d8_accumulation_filled(spark, sf_dir):
-    """Accumulation over the filled surface"""
-    return hydrology.accumulate_filled(V.dem(spark, sf_dir))
+def _nine_sql(columns: str, source: str, more: str = "") -> str:
+    """source's rows with the 3 x 3 neighbours of some columns, suffixed a to i."""
+    names = columns.split()
+    down = ", ".join(f"lag({n}) OVER dn AS {n}_b, {n} AS {n}_e, lead({n}) OVER dn AS {n}_h" for n in names)
+    along = ", ".join(f"lag({n}_{m}) OVER al AS {n}_{x}, {n}_{m}, lead({n}_{m}) OVER al AS {n}_{y}" for n in names for x, m, y in ("abc", "def", "ghi"))
+    return f"""(SELECT r, c, {more} {along} FROM (SELECT r, c, {more} {down} FROM {source} WINDOW dn AS (PARTITION BY c ORDER BY r)) WINDOW al AS (PARTITION BY r ORDER BY c))"""
+
+
+# relaxation: a cell's level falls to the lowest of its neighbours', but not below its height, until none falls any more
+_EDGE = "r IN ((SELECT min(\"row\") FROM vr_dem), (SELECT max(\"row\") FROM vr_dem)) OR c IN ((SELECT min(col) FROM vr_dem), (SELECT max(col) FROM vr_dem))"
+FILL = f"""f0 AS (SELECT "row" AS r, col AS c, elev AS z FROM vr_dem),
+    f AS (SELECT 0 AS n, r, c, z, CASE WHEN {_EDGE} THEN z ELSE 1e300::DOUBLE END AS w, true AS go FROM f0
+        UNION ALL SELECT n + 1, r, c, z, v, bool_or(v < w) OVER () FROM
+            (SELECT n, r, c, z, w, greatest(z, least(w, min(u) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))) AS v FROM
+                (SELECT *, min(w) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS u FROM f WHERE go))),
+    filled AS (SELECT r, c, w FROM f WHERE n = (SELECT max(n) FROM f))"""
+# steepest descent, and the number of steps over cells of one height to a cell that has it or stands at the border
+_STEP_LIST = ", ".join(f"{{'o': {k}, 'dr': {dr}, 'dc': {dc}, 'drop': (w_e - w_{n}) / {float((dr * dr + dc * dc) ** 0.5)!r}}}" for k, (n, (dr, dc)) in enumerate(hydrology.STEPS.items()))
+_FLAT_LIST = ", ".join(f"CASE WHEN w_{n} = w_e THEN d_{n} END" for n in hydrology.STEPS)
+_NEARER_LIST = ", ".join(f"{{'o': {k}, 'dr': {dr}, 'dc': {dc}, 'ok': w_{n} = w_e AND d_{n} = d_e - 1}}" for k, (n, (dr, dc)) in enumerate(hydrology.STEPS.items()))
+FILLED_ACC = f"""{FILL},
+    p0 AS (SELECT r, c, w_e AS w, list_filter([{_STEP_LIST}], lambda x: x.drop > 0) AS s FROM {_nine_sql("w", "filled")}),
+    p1 AS (SELECT r, c, w, CASE WHEN len(s) > 0 THEN list_reduce(s, lambda x, y: CASE WHEN y.drop > x.drop THEN y ELSE x END) END AS s FROM p0),
+    g AS (SELECT 0 AS n, r, c, w, s, CASE WHEN s IS NOT NULL OR {_EDGE} THEN 0 ELSE 1000000000 END AS d, true AS go FROM p1
+        UNION ALL SELECT n + 1, r, c, w_e, s, v, bool_or(v < d_e) OVER () FROM (SELECT n, r, c, s, w_e, d_e, least(d_e, 1 + coalesce(list_min([{_FLAT_LIST}]), 1000000000)) AS v FROM {_nine_sql("w d", "(SELECT * FROM g WHERE go)", "n, s,")})),
+    h AS (SELECT r, c, s, list_filter([{_NEARER_LIST}], lambda x: x.ok)[1] AS q, d_e AS d FROM {_nine_sql("w d", "(SELECT * FROM g WHERE n = (SELECT max(n) FROM g))", "s,")}),
+    pp AS (SELECT r, c, CASE WHEN s IS NOT NULL THEN r + s.dr ELSE r + q.dr END AS tr, CASE WHEN s IS NOT NULL THEN c + s.dc ELSE c + q.dc END AS tc FROM h WHERE s IS NOT NULL OR d > 0),
+    walk AS (SELECT r, c FROM f0 UNION ALL SELECT pp.tr, pp.tc FROM walk JOIN pp ON pp.r = walk.r AND pp.c = walk.c),
+    acc AS (SELECT r AS "row", c AS col, count(*) AS cells FROM walk GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {FILL} SELECT r::INT AS "row", c::INT AS col, {r6("w")} AS filled FROM filled""")
+def fill_depressions(spark, sf_dir):
+    """filling"""
+    return rounded(hydrology.fill_depressions(V.dem(spark, sf_dir), checkpoint=checkpointed))
 
 
+@query(f"""WITH {FILLED_ACC} SELECT "row"::INT AS "row", col::INT AS col, cells FROM acc""")
+def d8_accumulation_filled(spark, sf_dir):
+    """Accumulation over the filled surface"""
+    return hydrology.accumulate_filled(V.dem(spark, sf_dir), checkpoint=checkpointed)
 
 
 def _wet(spark, sf_dir):
     dem = V.dem(spark, sf_dir)
-    return hydrology.wetness(hydrology.d8_accumulation(dem, checkpoint=checkpointed), stencil.terrain(dem))
+    return hydrology.wetness(hydrology.accumulate_filled(dem, checkpoint=checkpointed), stencil.terrain(dem))
 
 
-_ACC = f"""{D8}, grad AS (SELECT *, a + b + c + d + e + f + g + h + i IS NOT NULL AS ok, ((c + f * 2 + i) - (a + d * 2 + g)) / 240 AS dx, ((g + h * 2 + i) - (a + b * 2 + c)) / 240 AS dy FROM w),
-    sl AS (SELECT grad."row", grad.col, cells * 30.0 AS area, CASE WHEN ok THEN {_SLOPE} END AS slope FROM grad JOIN acc ON acc."row" = grad."row" AND acc.col = grad.col)"""
+_ACC = f"""{FILLED_ACC}, {_NINE},
+    sl AS (SELECT gr."row", gr.col, cells * 30.0 AS area, CASE WHEN ok THEN {_SLOPE} END AS slope FROM gr JOIN acc ON acc."row" = gr."row" AND acc.col = gr.col)"""
 
 
 @query(f"""WITH {_ACC} SELECT "row", col, {r6("CASE WHEN slope IS NOT NULL THEN ln(area / tan(radians(greatest(slope, 0.1)))) END")} AS twi FROM sl""")
 def twi(spark, sf_dir):
-    """P13, W15"""
+    """Depressions filled first; the slope is that of the surface as it is"""
     return rounded(_wet(spark, sf_dir).select("row", "col", "twi"))
 
 
@@ -320,14 +350,24 @@ def erosion_risk(spark, sf_dir):
 # grids
 
 
-@query(f"""WITH t AS (SELECT r.range AS "row", c.range AS col, (r.range + 0.5) / 2.5 - 0.5 AS y, (c.range + 0.5) / 2.5 - 0.5 AS x FROM range(60) r, range(250) c),
+@query(f"""WITH s AS (SELECT floor((max("row") + 1) * 2.5)::BIGINT AS h, floor((max(col) + 1) * 2.5)::BIGINT AS w FROM vr_dem),
+    t AS (SELECT r."row", c.col, (r."row" + 0.5) / 2.5 - 0.5 AS y, (c.col + 0.5) / 2.5 - 0.5 AS x FROM (SELECT unnest(range(h)) AS "row" FROM s) r, (SELECT unnest(range(w)) AS col FROM s) c),
     q AS (SELECT *, floor(y)::INT AS r0, floor(x)::INT AS c0, y - floor(y) AS fy, x - floor(x) AS fx FROM t),
     n AS (SELECT "row", col, unnest([{{'sr': r0, 'sc': c0, 'w': (1 - fy) * (1 - fx)}}, {{'sr': r0, 'sc': c0 + 1, 'w': (1 - fy) * fx}}, {{'sr': r0 + 1, 'sc': c0, 'w': fy * (1 - fx)}}, {{'sr': r0 + 1, 'sc': c0 + 1, 'w': fy * fx}}]) AS n FROM q)
     SELECT n."row"::INT AS "row", n.col::INT AS col, {r8("CASE WHEN sum(CASE WHEN elev IS NOT NULL THEN n.w END) > 1e-12 THEN sum(n.w * elev) / sum(CASE WHEN elev IS NOT NULL THEN n.w END) END")} AS elev FROM n LEFT JOIN vr_dem d ON d."row" = n.sr AND d.col = n.sc GROUP BY 1, 2""")
 def resample_bilinear(spark, sf_dir):
-    """J4"""
-    target = spark.range(60 * 250).select(F.floor(F.col("id") / 250).cast("int").alias("row"), (F.col("id") % 250).cast("int").alias("col"))
-    return rounded(resample.bilinear(V.dem(spark, sf_dir), target, "elev", 2.5), 8)
+    """The whole raster on cells of 1 / 2.5 of its size"""
+    dem = V.dem(spark, sf_dir)
+    return rounded(resample.bilinear(dem, resample.finer_grid(dem, 2.5), "elev", 2.5), 8)
+
+
+@query("""WITH g AS (SELECT id, 32.004::DOUBLE + col / 50.0::DOUBLE AS lon, 36.9997::DOUBLE - "row" / 1000.0::DOUBLE AS lat FROM vr_points)
+    SELECT id, d.elev FROM g LEFT JOIN vr_dem d ON d."row" = floor((37.0005::DOUBLE - lat) / 0.001::DOUBLE) AND d.col = floor((lon - 31.99::DOUBLE) / 0.02::DOUBLE)""")
+def sample_lonlat(spark, sf_dir):
+    """Points by longitude and latitude into a raster with a transform; off the raster NULL"""
+    g = V.points(spark, sf_dir).select("id", (F.col("col") / 50 + 32.004).alias("lon"), (36.9997 - F.col("row") / 1000).alias("lat"))
+    placed = resample.cells_of(g, "lon", "lat", resample.Transform(31.99, 37.0005, 0.02, 0.001, 1 << 30, V.DEM_WIDTH))
+    return resample.sample_points(placed, V.dem(spark, sf_dir), "elev").select("id", "elev")
 
 
 @query(f"""SELECT ("row" // 7)::INT AS "row", (col // 7)::INT AS col, {r12("avg(b04)")} AS b04, {r12("avg(b08)")} AS b08 FROM vr_s2 GROUP BY 1, 2""")
@@ -502,27 +542,55 @@ def kruskal_wallis(spark, sf_dir):
     return stats.kruskal_wallis(V.features(spark, sf_dir), "price", "discount").select("n", (F.round("h", 4) + F.lit(0.0)).alias("h"))
 
 
-@query()
+def _gamma_p_sql(a: str, x: str) -> str:
+    """The regularised lower incomplete gamma function by its series; x a few times a at most."""
+    return f"CASE WHEN ({x}) <= 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, list_sum(list_transform(range(0, 700), lambda i: exp((({a}) + i) * ln({x}) - ({x}) - lgamma(({a}) + i + 1))))) END"
+
+
+# Student's t by Simpson's rule, chi-squared by the incomplete gamma function
+_SPEARMAN_P = f"""sr AS (SELECT {_rank('discount')} AS a, {_rank('tax')} AS b FROM vr_feat), s1 AS (SELECT corr(a, b) AS rho, count(*) - 2.0::DOUBLE AS v FROM sr), s2 AS (SELECT *, abs(rho) * sqrt(v / (1 - rho * rho)) AS t FROM s1),
+    s3 AS (SELECT 'spearman' AS test, rho AS statistic, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * t / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * i / 2000) ** 2 / v, -(v + 1) / 2))) AS p FROM s2)"""
+
+
+def _h_sql(v: str, g: str, t: str, name: str) -> str:
+    """CTEs of a Kruskal-Wallis test, the last one with n, k, h."""
+    return f"""x{name} AS (SELECT {v} AS v, {g} AS g FROM {t} WHERE {v} IS NOT NULL AND {g} IS NOT NULL), r{name} AS (SELECT v, g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM x{name}),
+        g{name} AS (SELECT g, sum(r) AS s, count(*)::DOUBLE AS m FROM r{name} GROUP BY 1), t{name} AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM x{name} GROUP BY v)),
+        {name} AS (SELECT sum(m) AS n, count(*) AS k, (12.0::DOUBLE / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1)) / (1 - any_value(ties) / (sum(m) ** 3 - sum(m))) AS h FROM g{name}, t{name})"""
+
+
+@query(f"""WITH {_SPEARMAN_P}, {_h_sql("tax", "discount", "vr_feat", "kw")} SELECT test, {r6("statistic")} AS statistic, {r6("p")} AS p FROM s3 UNION ALL SELECT 'kruskal_wallis', {r6("h")}, {r6(f"1 - ({_gamma_p_sql('(k - 1) / 2.0::DOUBLE', 'h / 2')})")} FROM kw""")
 def rank_p_values(spark, sf_dir):
     """P-values"""
     f = V.features(spark, sf_dir)
     a = stats.spearman(f, "discount", "tax").select(F.lit("spearman").alias("test"), F.col("rho").alias("statistic"), "p")
-    return a.unionByName(stats.kruskal_wallis(f, "tax", "discount").select(F.lit("kruskal_wallis").alias("test"), F.col("h").alias("statistic"), "p"))
-
-
-@query()
+    return rounded(a.unionByName(stats.kruskal_wallis(f, "tax", "discount").select(F.lit("kruskal_wallis").alias("test"), F.col("h").alias("statistic"), "p")))
+
+
+def _report_sql() -> str:
+    """A long table of the report: name, statistic or value. Its rasters are wet, dry, nddi and two made from the pixel's place."""
+    x = f"""{COMPOSITES}, base AS (SELECT i."row", i.col, wet, dry, nddi, (i."row" * 7 + i.col * 3) % 97 + 0.0::DOUBLE AS twi, (i."row" * 5 + i.col * 11) % 31 + 0.0::DOUBLE AS slope FROM index_ i JOIN pairs p ON p."row" = i."row" AND p.col = i.col WHERE wet IS NOT NULL AND dry IS NOT NULL AND nddi IS NOT NULL),
+        e AS (SELECT quantile_cont(twi, [0.25, 0.5, 0.75]) AS te, quantile_cont(slope, [0.25, 0.5, 0.75]) AS se FROM base),
+        v AS (SELECT base.*, len(list_filter(te, lambda z: z <= twi))::INT AS ts, len(list_filter(se, lambda z: z <= slope))::INT AS ss FROM base, e)"""
+    parts = []
+    for a, b in (("nddi", "twi"), ("nddi", "slope"), ("wet", "dry"), ("wet", "twi")):
+        parts.append(f"SELECT 'spearman_{a}_{b}' AS name, {r6('corr(a, b)')} AS value FROM (SELECT {_rank(a)} AS a, {_rank(b)} AS b FROM v)")
+    for k, (value, group, name) in enumerate((("wet", "ts", "twi"), ("dry", "ts", "twi"), ("nddi", "ts", "twi"), ("wet", "ss", "slope"))):
+        x += ", " + _h_sql(value, group, "v", f"kw{k}")
+        parts.append(f"SELECT 'kruskal_{value}_by_{name}', round(h, 4) + 0.0 FROM kw{k}")
+    for value in ("wet", "dry"):
+        for out, expr in (("mean", f"avg({value})"), ("median", f"quantile_cont({value}, 0.5)"), ("std", f"stddev_pop({value})"), ("q25", f"quantile_cont({value}, 0.25)"), ("q75", f"quantile_cont({value}, 0.75)"), ("n", "count(*)::DOUBLE")):
+            parts.append(f"SELECT '{value}_{out}_' || ts, {r6(expr)} FROM v GROUP BY ts")
+    for out, expr in (("mean", "avg(nddi)"), ("std", "stddev_pop(nddi)"), ("p10", "quantile_cont(nddi, 0.1)"), ("p90", "quantile_cont(nddi, 0.9)"), ("wet_pct", "avg(CASE WHEN nddi > 0.05 THEN 100.0 ELSE 0.0 END)"), ("dry_pct", "avg(CASE WHEN nddi < -0.05 THEN 100.0 ELSE 0.0 END)"), ("neutral_pct", "avg(CASE WHEN abs(nddi) <= 0.05 THEN 100.0 ELSE 0.0 END)")):
+        parts.append(f"SELECT 'nddi_{out}', {r6(expr)} FROM v")
+    return f"WITH {x} " + " UNION ALL ".join(parts)
+
+
+@query(_report_sql())
 def stats_report(spark, sf_dir):
-    """Rank statistics, strata and summary as one relation"""
+    """Rank statistics by wetness and slope quartiles, strata of both seasons and the index's summary as one relation"""
     x = nddi_pixels(spark, sf_dir).withColumn("twi", (F.col("row") * 7 + F.col("col") * 3) % 97 + 0.0).withColumn("slope", (F.col("row") * 5 + F.col("col") * 11) % 31 + 0.0)
-    x = x.where("wet IS NOT NULL AND dry IS NOT NULL AND nddi IS NOT NULL")
-    x = stats.quantile_strata(x, "twi", 4)
-    parts = [stats.spearman(x, a, b).select(F.lit(f"spearman_{a}_{b}").alias("name"), F.col("rho").alias("value"), "p") for a, b in (("wet", "dry"), ("nddi", "twi"), ("nddi", "slope"), ("wet", "twi"))]
-    parts += [stats.kruskal_wallis(x, v, "stratum").select(F.lit(f"kruskal_{v}").alias("name"), F.col("h").alias("value"), "p") for v in ("wet", "dry", "nddi")]
-    parts.append(stats.stratum_stats(x, "wet").select(F.concat(F.lit("wet_mean_"), F.col("stratum").cast("string")).alias("name"), F.col("mean").alias("value"), F.lit(None).cast("double").alias("p")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return stats.report(checkpointed(x.where("wet IS NOT NULL AND dry IS NOT NULL AND nddi IS NOT NULL")), "wet", "dry", "nddi", "twi", "slope", checkpointed)
 
 
 @query(f"SELECT {_metric_sql('obs', 'pred')} FROM vr_pred")
@@ -577,15 +645,31 @@ def class_histogram(spark, sf_dir):
     return V.classes(spark, sf_dir).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT {r6('avg(CASE WHEN elev > 1100 THEN 100.0 ELSE 0.0 END)')} AS over_1100, {r6('avg(CASE WHEN elev > 1300 THEN 100.0 ELSE 0.0 END)')} AS over_1300, {r6('min(elev)')} AS least, {r6('max(elev)')} AS most FROM vr_dem")
+@query(f"SELECT {r6('avg(CASE WHEN elev > 1100 THEN 100.0 ELSE 0.0 END)')} AS over_1100, {r6('avg(CASE WHEN elev > 1300 THEN 100.0 ELSE 0.0 END)')} AS over_1300, {r6('min(elev)')} AS least, {r6('max(elev)')} AS most, {r6('avg(elev)')} AS mean, {r6('100.0 * count(elev) / count(*)')} AS valid_pct FROM vr_dem")
 def exceedance_pct(spark, sf_dir):
     """A26, A24"""
     d = V.dem(spark, sf_dir)
-    return rounded(d.agg(stats.share(F.col("elev") > 1100).alias("over_1100"), stats.share(F.col("elev") > 1300).alias("over_1300"), F.min("elev").alias("least"), F.max("elev").alias("most")))
+    return rounded(d.agg(stats.share(F.col("elev") > 1100).alias("over_1100"), stats.share(F.col("elev") > 1300).alias("over_1300"), F.min("elev").alias("least"), F.max("elev").alias("most"), F.avg("elev").alias("mean"), (F.count("elev") * 100.0 / F.count("*")).alias("valid_pct")))
 
 
 # tiles and channels
 
+def _offsets_sql(extent: str, tile: int, overlap: int) -> str:
+    return f"CASE WHEN {extent} <= {tile} THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, {extent} - {tile} + 1, {tile - overlap}), [{extent} - {tile}]))) END"
+
+
+def tiles_sql(view: str, tile: int, overlap: int) -> str:
+    """tiles (r0, c0, h, w) of a raster's whole extent."""
+    return f"""x AS (SELECT max("row")::BIGINT + 1 AS eh, max(col)::BIGINT + 1 AS ew FROM {view}),
+        tiles AS (SELECT r.o AS r0, c.o AS c0, least({tile}, eh) AS h, least({tile}, ew) AS w FROM x, (SELECT unnest({_offsets_sql("eh", tile, overlap)}) AS o FROM x) r, (SELECT unnest({_offsets_sql("ew", tile, overlap)}) AS o FROM x) c)"""
+
+
+def _extent(df: DataFrame) -> tuple[int, int]:
+    """Height and width of a raster: two numbers on the driver."""
+    r = df.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).first()
+    return (r["h"] or 0), (r["w"] or 0)
+
+
 _TILES = """o AS (SELECT unnest(list_sort(list_distinct(list_concat(range(0, 1745, 224), [1744])))) AS o), o2 AS (SELECT unnest(list_sort(list_distinct(list_concat(range(0, 1245, 224), [1244])))) AS o), tiles AS (SELECT o.o::INT AS r0, o2.o::INT AS c0, 256 AS h, 256 AS w FROM o, o2)"""
 
 
@@ -601,10 +685,33 @@ def tile_blocks(spark, sf_dir):
     return tiles.tile_blocks(tiles.tile_index(spark, 2000, 1500), 5, 10)
 
 
-@query()
+@query(f"""WITH {_TILES}, b AS (SELECT DISTINCT r0 // 500 AS br, c0 // 500 AS bc FROM tiles), n AS (SELECT count(*) AS n FROM b)
+    SELECT unnest(['train', 'val', 'test']) AS split, unnest([round(n * 0.7), round(n * 0.15), n - round(n * 0.7) - round(n * 0.15)])::BIGINT AS blocks, 0::BIGINT AS shared FROM n""")
 def block_split(spark, sf_dir):
-    """T10, T11"""
-    return tiles.assign_split(tiles.tile_blocks(tiles.tile_index(spark, 2000, 1500), 5, 10))
+    """The blocks of each split, and how many of them another split has"""
+    x = tiles.assign_split(tiles.tile_blocks(tiles.tile_index(spark, 2000, 1500), 5, 10))
+    many = x.groupBy("block_id").agg(F.countDistinct("split").alias("k"))
+    return x.join(many, "block_id").groupBy("split").agg(F.countDistinct("block_id").alias("blocks"), F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).cast("long").alias("shared"))
+
+
+@query("""WITH n AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
+    SELECT unnest(['train', 'val', 'test']) AS split, unnest([floor(n * 0.7), floor(n * 0.15), n - floor(n * 0.7) - floor(n * 0.15)])::BIGINT AS chips FROM n""")
+def chip_split(spark, sf_dir):
+    """Chips, whose counts are cut off and not rounded"""
+    chips = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chip"))
+    return tiles.assign_split(chips, "chip", rounded=False).groupBy("split").agg(F.countDistinct("chip").alias("chips"))
+
+
+@query("""WITH f AS (SELECT 'chip' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '_S1Hand.tif' WHEN o_orderkey % 3 = 1 THEN '_LabelHand.tif' ELSE '_S1Hand.tif.aux' END AS name FROM orders UNION ALL SELECT 'chip' || o_orderkey || '_LabelHand.tif' FROM orders WHERE o_orderkey % 6 = 0),
+    a AS (SELECT substr(name, 1, length(name) - 11) AS key, name AS "left" FROM f WHERE ends_with(name, '_S1Hand.tif')), b AS (SELECT substr(name, 1, length(name) - 14) AS key, name AS "right" FROM f WHERE ends_with(name, '_LabelHand.tif'))
+    SELECT key, "left", "right" FROM a JOIN b USING (key)""")
+def chip_pairs(spark, sf_dir):
+    """Scenes and labels of the same chip, by their names"""
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    name = lambda end: F.concat(F.lit("chip"), F.col("k").cast("string"), end).alias("name")
+    kind = F.when(F.col("k") % 3 == 0, "_S1Hand.tif").when(F.col("k") % 3 == 1, "_LabelHand.tif").otherwise("_S1Hand.tif.aux")
+    files = o.select(name(kind)).unionByName(o.where("k % 6 = 0").select(name(F.lit("_LabelHand.tif"))))
+    return tiles.paired(files, "_S1Hand.tif", "_LabelHand.tif")
 
 
 @query(f"""SELECT r.range::INT AS "row", c.range::INT AS col, {r6("coalesce(s.b04, 0.0)")} AS b04, {r6("coalesce(s.b08, -9999.0)")} AS b08 FROM range(32) r CROSS JOIN range(32) c LEFT JOIN vr_s2 s ON s."row" = r.range + 5 AND s.col = c.range + 80""")
@@ -613,11 +720,16 @@ def tile_pad(spark, sf_dir):
     return rounded(tiles.pad_tile(V.s2(spark, sf_dir), 5, 80, 32, {"b04": 0.0, "b08": -9999.0}))
 
 
-@query(" UNION ALL ".join(f"""SELECT '{n}' AS op, {r}::INT AS "row", {c}::INT AS col, {r6("b04")} AS b04 FROM vr_s2 WHERE "row" < 15 AND col < 20""" for n, r, c in (("hflip", '"row"', "19 - col"), ("vflip", '14 - "row"', "col"), ("rot90", "19 - col", '"row"'))))
+_OPS = {"hflip": ("lr", "w - 1 - lc"), "vflip": ("h - 1 - lr", "lc"), "rot90": ("w - 1 - lc", "lr")}
+
+
+@query(f"""WITH {tiles_sql("vr_s2", 32, 8)}, p AS (SELECT r0, c0, h, w, "row" - r0 AS lr, col - c0 AS lc, b04, b08 FROM vr_s2 JOIN tiles ON "row" >= r0 AND "row" < r0 + h AND col >= c0 AND col < c0 + w) """
+    + " UNION ALL ".join(f"""SELECT '{n}' AS op, r0::INT AS r0, c0::INT AS c0, ({r})::INT AS "row", ({c})::INT AS col, {r6("b04")} AS x, {r6("b08")} AS y FROM p""" for n, (r, c) in _OPS.items()))
 def augment_flip_rot(spark, sf_dir):
-    """W16"""
-    x = V.s2(spark, sf_dir).where("row < 15 AND col < 20").select("row", "col", "b04")
-    out = [tiles.augment(x, op, 15, 20).withColumn("op", F.lit(op)) for op in ("hflip", "vflip", "rot90")]
+    """Every tile of the raster, its feature and its label together"""
+    s2 = V.s2(spark, sf_dir).select("row", "col", F.col("b04").alias("x"), F.col("b08").alias("y"))
+    cut = tiles.cut(s2, tiles.tile_index(spark, *_extent(s2), 32, 8), 32)
+    out = [tiles.augment(cut, op, F.col("h"), F.col("w")).withColumn("op", F.lit(op)).select("op", "r0", "c0", "row", "col", "x", "y") for op in _OPS]
     return rounded(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
@@ -637,11 +749,12 @@ def normalize_channels(spark, sf_dir):
     return rounded(tiles.normalize(x, tiles.channel_stats(x)).select("c", "id", "z"))
 
 
-@query(f"""WITH t AS (SELECT r.o::INT AS r0, c.o::INT AS c0 FROM (SELECT unnest([0, 24, 48, 68]) AS o) r, (SELECT unnest([0, 24, 48, 68]) AS o) c), m AS (SELECT d."row", d.col, d.elev, count(*) AS k FROM vr_dem d JOIN t ON d."row" >= r0 AND d."row" < r0 + 32 AND d.col >= c0 AND d.col < c0 + 32 GROUP BY ALL)
+@query(f"""WITH {tiles_sql("vr_dem", 32, 8)}, m AS (SELECT d."row", d.col, d.elev, count(*) AS k FROM vr_dem d JOIN tiles ON d."row" >= r0 AND d."row" < r0 + h AND d.col >= c0 AND d.col < c0 + w GROUP BY ALL)
     SELECT {r6("sum(k * elev) / sum(k)")} AS mean, {r6("sqrt(greatest(sum(k * elev * elev) / sum(k) - (sum(k * elev) / sum(k)) * (sum(k * elev) / sum(k)), 1e-12))")} AS std, sum(k)::BIGINT AS samples FROM m""")
 def tile_norm_stats(spark, sf_dir):
     """Pixels count once for each tile that holds them"""
-    m = tiles.tile_multiplicity(V.dem(spark, sf_dir), tiles.tile_index(spark, 100, 100, 32, 8), 32).withColumn("c", F.lit(0))
+    dem = V.dem(spark, sf_dir)
+    m = tiles.tile_multiplicity(dem, tiles.tile_index(spark, *_extent(dem), 32, 8), 32).withColumn("c", F.lit(0))
     s = tiles.channel_stats(m, "c", "elev", F.col("tiles").cast("double"))
     return rounded(s.join(F.broadcast(m.agg(F.sum("tiles").alias("samples")))).select("mean", "std", "samples"))
 
@@ -661,16 +774,54 @@ def climate_normals(spark, sf_dir):
     return rounded(climate.normals(V.precip(spark, sf_dir), ["precip"]))
 
 
-@query()
+def _digamma_sql(x: str) -> str:
+    y = f"(({x}) + 8)"
+    shift = " + ".join(f"1.0::DOUBLE / (({x}) + {i})" for i in range(8))
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - ({shift}))"
+
+
+def _fit_sql(by: str) -> tuple[str, str]:
+    """CTEs of a gamma law by maximum likelihood for each group, and the last one's name."""
+    n = by.replace(", ", "_")
+    start = f"""a_{n} AS (SELECT {by}, count(*)::DOUBLE AS k, count(CASE WHEN acc > 0 THEN 1 END) AS n, avg(CASE WHEN acc > 0 THEN acc END) AS mean, avg(CASE WHEN acc > 0 THEN ln(acc) END) AS logs FROM acc WHERE acc IS NOT NULL GROUP BY {by}),
+        s0_{n} AS (SELECT *, ln(mean) - logs AS s FROM a_{n}), g0_{n} AS (SELECT *, CASE WHEN n > 0 AND s > 1e-12 THEN (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) END AS shape FROM s0_{n})"""
+    for i in range(8):
+        d = _digamma_sql("shape")
+        slope = f"(1 / shape - ({_digamma_sql('shape * 1.0001')} - {_digamma_sql('shape * 0.9999')}) / (0.0002 * shape))"
+        start += f", g{i + 1}_{n} AS (SELECT * EXCLUDE (shape), shape - (ln(shape) - {d} - s) / {slope} AS shape FROM g{i}_{n})"
+    return start, f"g8_{n}"
+
+
+def _normal_sql(p: str) -> str:
+    """A normal quantile: bisection of the distribution function, which is an incomplete gamma function of z * z / 2."""
+    # 0.5 * P(1/2, z * z / 2) = |p - 0.5| is solved for z in [0, 6]
+    half = _gamma_p_sql("0.5::DOUBLE", "((x.a + x.b) / 2) ** 2 / 2")
+    step = f"lambda x, y: CASE WHEN 0.5 * {half} < x.t THEN {{'a': (x.a + x.b) / 2, 'b': x.b, 't': x.t}} ELSE {{'a': x.a, 'b': (x.a + x.b) / 2, 't': x.t}} END"
+    seed = f"{{'a': 0.0::DOUBLE, 'b': 6.0::DOUBLE, 't': abs(({p}) - 0.5::DOUBLE)}}"
+    return f"sign(({p}) - 0.5) * list_reduce(list_transform(range(0, 42), lambda i: {seed}), {step}).a"
+
+
+_FIT_MONTH, _BY_MONTH = _fit_sql("pixel, m")
+_FIT_ALL, _BY_PIXEL = _fit_sql("pixel")
+SPI = f"""acc AS (SELECT pixel, month, month(month) AS m, CASE WHEN count(precip) OVER w = 3 THEN sum(precip) OVER w END AS acc FROM vr_precip WINDOW w AS (PARTITION BY pixel ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+    good AS (SELECT pixel, stddev_pop(precip) > 0 AND count(precip) = count(*) AS good FROM vr_precip GROUP BY 1), {_FIT_MONTH}, {_FIT_ALL},
+    law AS (SELECT x.pixel, x.month, x.acc, g.good, CASE WHEN coalesce(b.n, 0) < 3 THEN (a.k - a.n) / a.k ELSE (b.k - b.n) / b.k END AS q,
+        CASE WHEN coalesce(b.n, 0) < 3 THEN a.shape ELSE b.shape END AS shape, CASE WHEN coalesce(b.n, 0) < 3 THEN a.mean / a.shape ELSE b.mean / b.shape END AS scale
+        FROM acc x LEFT JOIN {_BY_MONTH} b ON b.pixel = x.pixel AND b.m = x.m LEFT JOIN {_BY_PIXEL} a ON a.pixel = x.pixel JOIN good g ON g.pixel = x.pixel),
+    h AS (SELECT pixel, month, CASE WHEN good THEN greatest(1e-6, least(1 - 1e-6, CASE WHEN acc > 0 THEN q + (1 - q) * ({_gamma_p_sql("shape", "acc / scale")}) WHEN acc IS NOT NULL THEN q / 2 END)) END AS h, acc FROM law),
+    spi AS (SELECT pixel, month, CASE WHEN acc IS NOT NULL AND h IS NOT NULL THEN {_normal_sql("h")} END AS spi FROM h)"""
+
+
+@query(f"WITH {SPI} SELECT pixel, month, round(spi, 4) + 0.0 AS spi FROM spi")
 def spi(spark, sf_dir):
     """W4, W5, F9"""
-    return rounded(climate.spi(V.precip(spark, sf_dir)))
+    return rounded(climate.spi(V.precip(spark, sf_dir)), 4)
 
 
-@query()
+@query(f"WITH {SPI} SELECT pixel, round(arg_max(spi, month), 4) + 0.0 AS spi FROM spi GROUP BY 1")
 def spi_latest(spark, sf_dir):
     """W6"""
-    return rounded(climate.spi_latest(V.precip(spark, sf_dir)))
+    return rounded(climate.spi_latest(V.precip(spark, sf_dir)), 4)
 
 
 # folds and models
@@ -705,26 +856,26 @@ def subsample(spark, sf_dir):
 @query()
 def surface_response_classes(spark, sf_dir):
     """M1, F6"""
-    return ml.surface_classes(_table(spark, sf_dir), F.col("quantity") + F.col("discount") * 0.05 - F.col("tax") * 0.01, FEATURES).select("id", "class")
+    return ml.surface_classes(_table(spark, sf_dir), F.col("quantity") + F.col("discount") * 0.05 - F.col("tax") * 0.01, FEATURES).select("id", "class", "name")
 
 
 @query()
 def behaviour_clusters(spark, sf_dir):
     """M2"""
-    return ml.cluster(_table(spark, sf_dir), FEATURES, 6, seeds=1).groupBy("cluster").agg(F.count("*").alias("n"))
+    return ml.cluster(_table(spark, sf_dir), FEATURES, 6).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
 def rf_cv(spark, sf_dir):
     """M3, A19"""
-    return ml.forest_cv(_table(spark, sf_dir), FEATURES, "price", "id", 5, trees=20, depth=8)
+    return ml.forest_cv(_table(spark, sf_dir), FEATURES, "price", "id", 5)
 
 
 @query()
 def rf_predict(spark, sf_dir):
     """M4"""
     x = _table(spark, sf_dir).withColumn("tax", F.when(F.col("id") % 17 != 0, F.col("tax")))
-    return ml.fit_predict(x, x, FEATURES, "price", ml.forest(20, 8), ["id"])
+    return ml.fit_predict(x, x, FEATURES, "price", ml.forest(), ["id"])
 
 
 @query()
@@ -742,12 +893,19 @@ def gbm_predict(spark, sf_dir):
 
 @query()
 def quantile_intervals(spark, sf_dir):
-    """M7, A18"""
-    x = _table(spark, sf_dir)
-    out = ml.quantile_forest(x.where("id % 4 <> 0"), x.where("id % 4 = 0"), FEATURES, "price", "id", trees=10)
+    """Intervals for blocks that the model has not seen"""
+    out = ml.quantile_cv(_table(spark, sf_dir), FEATURES, "price", "block", "id")
     return stats.interval_calibration(out, "price", "q0", "q2", "q1")
 
 
+@query()
+def model_comparison(spark, sf_dir):
+    """The model with the best score, of a forest and a single tree on the same folds"""
+    x = tiles.kfold(_table(spark, sf_dir), "id", 3)
+    scores = [ml.summary(ml.cross_validate(x, FEATURES, "price", m)).select(F.lit(n).alias("model"), F.col("r2_mean").alias("r2")) for n, m in (("forest", ml.forest(50, 8)), ("tree", ml.forest(1, 8)))]
+    return ml.best_model(scores[0].unionByName(scores[1]), "r2")
+
+
 @query()
 def cross_region_transfer(spark, sf_dir):
     """M9, J10, P21"""
@@ -767,7 +925,7 @@ def flood_pixel_classifier(spark, sf_dir):
 def topk_importances(spark, sf_dir):
     """T2, M18"""
     x = _table(spark, sf_dir)
-    model = ml.forest(10, 6).fit(ml.assemble(x, FEATURES).withColumnRenamed("price", "label"))
+    model = ml.forest().fit(ml.assemble(x, FEATURES).withColumnRenamed("price", "label"))
     return tiles.first_k(ml.importances(model, FEATURES, spark), F.desc("importance"), 2)
 
 
@@ -785,12 +943,38 @@ def feature_name_ops(spark, sf_dir):
     return a.intersect(b).select(F.lit("common").alias("part"), "name").union(a.subtract(b).select(F.lit("missing"), "name"))
 
 
-@query("""SELECT p AS property, 'https://maps.isric.org/mapserv?map=/map/' || p || '.map&SERVICE=WCS&VERSION=2.0.1&REQUEST=GetCoverage&COVERAGEID=' || p || '_0-5cm_mean&FORMAT=image/tiff&SUBSET=long(32.0,32.5)&SUBSET=lat(37.0,37.5)&SUBSETTINGCRS=http://www.opengis.net/def/crs/EPSG/0/4326&OUTPUTCRS=http://www.opengis.net/def/crs/EPSG/0/4326' AS url FROM (SELECT unnest(['clay', 'sand', 'soc']) AS p)""")
+@query("""SELECT p AS property, 'https://maps.isric.org/mapserv?map=/map/' || p || '.map&SERVICE=WCS&VERSION=2.0.1&REQUEST=GetCoverage&COVERAGEID=' || p || '_0-5cm_mean&FORMAT=image/tiff&SUBSETTINGCRS=http://www.opengis.net/def/crs/EPSG/0/4326&SUBSET=X(32.0,32.5)&SUBSET=Y(37.0,37.5)' AS url FROM (SELECT unnest(['clay', 'sand', 'soc']) AS p)""")
 def coverage_urls(spark, sf_dir):
     """S8"""
     return spark.createDataFrame([(p, coverage_url(p, "0-5cm", 32.0, 37.0, 32.5, 37.5)) for p in ("clay", "sand", "soc")], "property string, url string")
 
 
+@query("""SELECT 'chirps-v2.0.' || y || '.' || lpad(m::VARCHAR, 2, '0') || '.tif.gz' AS name, 'https://data.chc.ucsb.edu/products/CHIRPS-2.0/global_monthly/tifs/chirps-v2.0.' || y || '.' || lpad(m::VARCHAR, 2, '0') || '.tif.gz' AS url FROM (SELECT unnest(range(1995, 2002)) AS y), (SELECT unnest(range(1, 13)) AS m)""")
+def rain_files(spark, sf_dir):
+    """What a download of monthly precipitation has to fetch"""
+    return acquire.monthly_rain(spark, 1995, 2001, "rain").select("name", "url")
+
+
+@query("""WITH n AS (SELECT o_orderkey // 100 AS page, o_orderkey % 100 AS place, CASE WHEN o_orderkey % 3 = 0 THEN 'S1Hand' ELSE 'LabelHand' END AS kind, 'c' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.json' ELSE '.tif' END AS name FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY page, place) AS k FROM n WHERE ends_with(name, '.tif'))
+    SELECT name, 'https://storage.googleapis.com/sen1floods11/v1.1/data/flood_events/HandLabeled/' || kind || '/' || name AS url, 'floods/' || kind || '/' || name AS target FROM r WHERE k <= 40""")
+def flood_files(spark, sf_dir):
+    """The first chips and labels of a listing in pages"""
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    kind = F.when(F.col("k") % 3 == 0, "S1Hand").otherwise("LabelHand")
+    name = F.concat(F.lit(acquire.FLOOD_FOLDER + "/"), kind, F.lit("/c"), F.col("k").cast("string"), F.when(F.col("k") % 7 == 0, ".json").otherwise(".tif"))
+    pages = o.groupBy(F.floor(F.col("k") / 100).alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct((F.col("k") % 100).alias("i"), name.alias("n")))), lambda x: x["n"]).alias("names"))
+    return acquire.flood_chips(pages, "floods", 40)
+
+
+@query(f"""WITH p AS (SELECT pixel, month, precip, 40 - pixel // 5 * 0.25::DOUBLE AS latitude, 30 + (24 - pixel) % 5 * 0.25::DOUBLE AS longitude FROM vr_precip)
+    SELECT (dense_rank() OVER (ORDER BY latitude DESC) - 1)::INT AS "row", (dense_rank() OVER (ORDER BY longitude) - 1)::INT AS col, month, {r8("precip")} AS precip FROM p""")
+def climate_grid(spark, sf_dir):
+    """A table of coordinates, with its axes' own names, as a grid from the north"""
+    x = V.precip(spark, sf_dir).select("month", "precip", (40 - F.floor(F.col("pixel") / 5) * 0.25).alias("latitude"), (30 + (24 - F.col("pixel")) % 5 * 0.25).alias("longitude"))
+    return rounded(acquire.north_up(x, {"latitude": "lat", "longitude": "lon", "valid_time": "month"}).select("row", "col", "month", "precip"), 8)
+
+
 @query(f"""WITH x AS (SELECT "row", col, avg(vv) FILTER (t = 4) AS now, min(vv) AS dry, max(vv) AS wet FROM vr_s1 GROUP BY 1, 2) SELECT "row", col, {r6("CASE WHEN abs(wet - dry) >= 1e-6 AND now IS NOT NULL THEN greatest(0.0, least(1.0, (now - dry) / (wet - dry))) END")} AS moisture FROM x""")
 def moisture_index(spark, sf_dir):
     """the index of the design documents"""

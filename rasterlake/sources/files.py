@@ -188,6 +188,22 @@ def save_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.coalesce(1).write.mode(mode).json(path)
 
 
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `save_json` wrote: scalers and metrics."""
+    return spark.read.schema(schema).json(path)
+
+
+def write_cube(df: DataFrame, features: list[str], path: str, block: int = 512, mode: str = "errorifexists") -> None:
+    """A cube by blocks of pixels, beside its features' names in their order."""
+    write_grid(df.select("row", "col", *features), f"{path}/cells", block, mode)
+    df.sparkSession.createDataFrame([(i, f) for i, f in enumerate(features)], "place int, name string").coalesce(1).write.mode(mode).json(f"{path}/features")
+
+
+def read_cube(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    names = [r["name"] for r in load_json(spark, f"{path}/features", "place int, name string").orderBy("place").collect()]  # a row a feature
+    return spark.read.parquet(f"{path}/cells").select("row", "col", *names), names
+
+
 # configuration
 
 _VARIABLE = re.compile(r"\$\{(\w+)\}")
@@ -229,24 +245,29 @@ def load_area(path: str) -> Area:
     return Area(**known, options=x)
 
 
-#: Soil properties and depths that the coverage service has.
-PROPERTIES = ("bdod", "cec", "cfvo", "clay", "nitrogen", "ocd", "phh2o", "sand", "silt", "soc")
-DEPTHS = ("0-5cm", "5-15cm", "15-30cm", "30-60cm", "60-100cm", "100-200cm")
+#: Soil properties with their units, and depths, that the coverage service is asked for.
+PROPERTIES = {"clay": "g/kg", "sand": "g/kg", "silt": "g/kg", "soc": "dg/kg", "bdod": "cg/cm³"}
+DEPTHS = ("0-5cm", "5-15cm", "15-30cm")
+#: Names of the wetness classes, from the driest.
+CLASS_NAMES = ("dry", "moderately_dry", "transitional", "seasonally_wet", "persistently_wet")
 
 
-def coverage_url(prop: str, depth: str, west: float, south: float, east: float, north: float, base: str = "https://maps.isric.org/mapserv?map=/map/") -> str:
+def coverage_url(prop: str, depth: str, west: float, south: float, east: float, north: float, base: str = "https://maps.isric.org/mapserv") -> str:
     """Request of a mean soil property in a box; unknown names are ValueErrors."""
     if prop not in PROPERTIES:
         raise ValueError(f"unknown property: {prop}")
     if depth not in DEPTHS:
         raise ValueError(f"unknown depth: {depth}")
-    return f"{base}{prop}.map&SERVICE=WCS&VERSION=2.0.1&REQUEST=GetCoverage&COVERAGEID={prop}_{depth}_mean&FORMAT=image/tiff&SUBSET=long({west},{east})&SUBSET=lat({south},{north})&SUBSETTINGCRS=http://www.opengis.net/def/crs/EPSG/0/4326&OUTPUTCRS=http://www.opengis.net/def/crs/EPSG/0/4326"
+    asked = {"SERVICE": "WCS", "VERSION": "2.0.1", "REQUEST": "GetCoverage", "COVERAGEID": f"{prop}_{depth}_mean", "FORMAT": "image/tiff", "SUBSETTINGCRS": "http://www.opengis.net/def/crs/EPSG/0/4326"}
+    box = [f"SUBSET=X({west},{east})", f"SUBSET=Y({south},{north})"]
+    return "&".join([f"{base}?map=/map/{prop}.map", *(f"{k}={v}" for k, v in asked.items()), *box])
 
 
 def checked_schema(df: DataFrame, expected: list[str]) -> DataFrame:
-    """df's columns in the trained order; a missing or unknown one is an error."""
-    if set(df.columns) != set(expected):
-        raise ValueError(f"expected {sorted(expected)}, got {sorted(df.columns)}")
+    """df's columns in the trained order: a missing one is a KeyError, others are left out."""
+    missing = [c for c in expected if c not in df.columns]
+    if missing:
+        raise KeyError(", ".join(missing))
     return df.select(*expected)
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import scalar as S
+from rasterlake.plans.tables import checkpointed
 from rasterlake.operators import climate, hydrology, ml, resample, stats, stencil, temporal, tiles
 from rasterlake.sources import files
 from rasterlake.streaming.windows import append_new, arriving, window_means
@@ -86,16 +87,109 @@ def test_terrain_of_a_plane(spark):
     assert np.allclose(dense(stencil.curvature(grid(spark, z)), "curvature", z.shape), want)
 
 
-def test_hydrology(spark):
-    z = np.array([[9, 9, 9, 9, 9], [9, 5, 5, 5, 9], [9, 5, 1, 5, 9], [9, 5, 5, 5, 4], [9, 9, 9, 9, 9]], float)
-    assert dense(hydrology.fill_depressions(grid(spark, z)), "filled", z.shape)[2, 2] == 5
-    cells = dense(hydrology.accumulate_filled(grid(spark, z)), "cells", z.shape)
-    assert cells[3, 4] == cells.max() and cells.sum() >= z.size
-    ramp = np.arange(12.0).reshape(1, 12) + np.zeros((3, 1))
-    from rasterlake.plans.tables import checkpointed
+def brute_fill(z):
+    """The lowest level that lets water out, by relaxation; missing cells and the border let it out."""
+    h, w = z.shape
+    big = np.full((h + 2, w + 2), np.nan)
+    big[1:-1, 1:-1] = z
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    beside = lambda x, i, j: x[1 + i : h + 1 + i, 1 + j : w + 1 + j]
+    out = np.any([np.isnan(beside(big, i, j)) for i, j in steps], axis=0)
+    level = np.where(out, z, np.inf)
+    while True:
+        frame = np.full((h + 2, w + 2), np.inf)
+        frame[1:-1, 1:-1] = np.where(np.isnan(z), np.inf, level)
+        new = np.where(np.isnan(z), np.nan, np.maximum(z, np.minimum(level, np.min([beside(frame, i, j) for i, j in steps], axis=0))))
+        if np.array_equal(new, level, equal_nan=True):
+            return new, out
+        level = new
+
+
+def brute_cells(f, out):
+    """Cells that drain through each, over a filled surface: steepest descent, and over flats to the nearest way out."""
+    h, w = f.shape
+    steps = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+    near = lambda r, c: [(k, r + i, c + j, math.hypot(i, j)) for k, (i, j) in enumerate(steps) if 0 <= r + i < h and 0 <= c + j < w and not np.isnan(f[r + i, c + j])]
+    cells = [(r, c) for r in range(h) for c in range(w) if not np.isnan(f[r, c])]
+    to, dist = {}, {}
+    for r, c in cells:
+        best = max(((f[r, c] - f[i, j]) / d, -k, i, j) for k, i, j, d in near(r, c)) if near(r, c) else (0,)
+        if best[0] > 0:
+            to[r, c] = best[2:]
+        if best[0] > 0 or out[r, c]:
+            dist[r, c] = 0
+    front = list(dist)
+    while front:
+        front, last = [], front
+        for r, c in last:
+            for _, i, j, _ in near(r, c):
+                if f[i, j] == f[r, c] and (i, j) not in dist:
+                    dist[i, j] = dist[r, c] + 1
+                    front.append((i, j))
+    for r, c in cells:
+        if dist[r, c]:
+            to[r, c] = next((i, j) for _, i, j, _ in near(r, c) if f[i, j] == f[r, c] and dist[i, j] == dist[r, c] - 1)
+    n = np.where(np.isnan(f), np.nan, 0)
+    for at in cells:
+        while at:
+            n[at] += 1
+            at = to.get(at)
+    return n
+
+
+def surface(kind, shape=(23, 31)):
+    rng = np.random.default_rng(len(kind))
+    z = rng.uniform(0, 100, shape)
+    if kind == "bowls":  # few large depressions, and flats
+        r, c = np.indices(shape)
+        z = np.round(20 + 10 * np.sin(r / 3) * np.cos(c / 4) + rng.uniform(0, 2, shape))
+    if kind == "holes":
+        z[rng.random(shape) < 0.1] = np.nan
+    if kind == "flat":
+        z[:] = 7.0
+    if kind == "spiral":  # one long way out
+        z = np.full(shape, 50.0)
+        at, step, level = [0, 0], (0, 1), 49.0
+        for _ in range(1000):
+            z[tuple(at)] = level
+            level -= 0.01
+            ahead = at[0] + 2 * step[0], at[1] + 2 * step[1]
+            if not (0 <= ahead[0] < shape[0] and 0 <= ahead[1] < shape[1]) or z[ahead] < 50:
+                step = step[1], -step[0]
+                ahead = at[0] + 2 * step[0], at[1] + 2 * step[1]
+                if not (0 <= ahead[0] < shape[0] and 0 <= ahead[1] < shape[1]) or z[ahead] < 50:
+                    break
+            at = [at[0] + step[0], at[1] + step[1]]
+    return z
+
+
+@pytest.mark.parametrize("kind", ["noise", "bowls", "holes", "flat", "spiral"])
+def test_hydrology_on_filled_surfaces(spark, kind):
+    z = surface(kind)
+    want, out = brute_fill(z)
+    df = grid(spark, z).cache()
+    cells = brute_cells(want, out)
+    tile = 64 if kind == "noise" else 8
+    assert np.array_equal(dense(hydrology.fill_depressions(df, checkpoint=checkpointed, tile=tile), "filled", z.shape), want, equal_nan=True)
+    assert np.array_equal(dense(hydrology.accumulate_filled(df, checkpoint=checkpointed, tile=tile), "cells", z.shape), cells, equal_nan=True)
+
+
+def test_spill_levels_in_rounds(spark):
+    """The joined rounds agree with the solution in memory, also on ties and long chains."""
+    rng = np.random.default_rng(3)
+    edges = [(k, k + 1, float(rng.integers(0, 9))) for k in range(40)] + [(int(a), int(b), float(rng.integers(0, 30))) for a, b in rng.integers(0, 41, (60, 2))]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    one, many = ({r["node"]: r["level"] for r in hydrology.spill_levels(df, checkpointed, local=n).collect()} for n in (1 << 18, 0))
+    assert one == many and len(one) == 40
+
 
-    acc = dense(hydrology.d8_accumulation(grid(spark, ramp), checkpoint=checkpointed), "cells", ramp.shape)
-    assert acc[1, 0] == 12 and acc[1, 11] == 1
+def test_accumulation_over_long_ways(spark):
+    z = np.arange(300.0)[::-1].reshape(1, 300)
+    got = dense(hydrology.d8_accumulation(grid(spark, z), checkpoint=checkpointed, tile=16), "cells", z.shape)
+    assert got.tolist() == [list(range(1, 301))]
+    ring = spark.createDataFrame([(0, 0, 0, 9), (0, 9, 0, 0)], "row int, col int, to_row int, to_col int")
+    with pytest.raises(ValueError):
+        hydrology.accumulate(ring, checkpointed, tile=4).collect()
 
 
 def test_bilinear_and_blocks(spark):
@@ -126,9 +220,12 @@ def test_tiles_cover_and_do_not_leak(spark):
     blocks = tiles.tile_blocks(tiles.tile_index(spark, 2000, 2000), 5, 10)
     made = tiles.assign_split(blocks).select("block_id", "split").distinct().collect()
     assert len(made) == len({r["block_id"] for r in made}) and {r["split"] for r in made} == {"train", "val", "test"}
-    assert tiles.split_blocks([1, 2, 3, 4]) == tiles.split_blocks([4, 3, 2, 1])
+    four = spark.range(4).select(F.col("id").alias("block_id"))
+    splits = lambda d: sorted((r["block_id"], r["split"]) for r in tiles.assign_split(d).collect())
+    assert splits(four) == splits(four.orderBy(F.desc("block_id"))) and [s for _, s in splits(four)].count("train") == 3
+    assert [r["split"] for r in tiles.assign_split(four, rounded=False).collect()].count("train") == 2
     with pytest.raises(ValueError):
-        tiles.split_blocks([1], (0.5, 0.4, 0.2))
+        tiles.assign_split(four, ratios=(0.5, 0.4, 0.2))
     a = grid(spark, np.arange(6.0).reshape(2, 3))
     assert (dense(tiles.augment(a, "rot90", 2, 3), "elev", (3, 2)) == np.rot90(np.arange(6.0).reshape(2, 3))).all()
     with pytest.raises(ValueError):
@@ -136,6 +233,46 @@ def test_tiles_cover_and_do_not_leak(spark):
     assert tiles.group_folds({1: 5, 2: 3, 3: 3, 4: 1}, 2) == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(11)
+    for n, accuracy in ((0, 5000), (2, 5000), (977, 5000), (5000, 1000)):
+        x = np.round(rng.normal(size=n) * 20, 1 if n % 2 else 6)
+        df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(x)] + [(None, 0)], "x double, g int")
+        probs = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
+        got = stats.exact_quantiles(df, "x", probs, accuracy=accuracy).first()["q"]
+        assert got == [None] * 6 if not n else np.allclose(got, np.quantile(x, probs), rtol=0, atol=1e-12)
+        for r in stats.exact_quantiles(df, "x", probs, ["g"], accuracy=accuracy).collect():
+            assert np.allclose(r["q"], np.quantile(x[np.arange(n) % 3 == r["g"]], probs), rtol=0, atol=1e-12)
+
+
+def test_subsample(spark):
+    df = spark.range(5000)
+    for most in (0, 1, 700, 4999, 5000, 9000):
+        got = [r["id"] for r in tiles.subsample(df, most, "id").collect()]
+        want = [r["id"] for r in df.orderBy(F.xxhash64("id")).limit(most).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_transforms(spark):
+    """A plane on one grid, seen from another with other cells, an offset and other coordinates."""
+    a, b = resample.Transform(500000.0, 4100000.0, 30.0, 30.0, 40, 50), resample.Transform(500210.0, 4099700.0, 20.0, 10.0, 12, 9)
+    plane = grid(spark, np.zeros((40, 50))).select("row", "col")
+    plane = resample.centres(plane, a).withColumn("v", F.col("x") * 0.01 + F.col("y") * 0.02)
+    cells = grid(spark, np.zeros((12, 9))).select("row", "col")
+    got = resample.centres(resample.align(plane, a, cells, b, "v"), b).collect()
+    assert len(got) == 108 and all(math.isclose(r["v"], r["x"] * 0.01 + r["y"] * 0.02, rel_tol=1e-12) for r in got)
+    # a grid of degrees over the same place
+    lon, lat = spark.range(1).select(*S.lonlat(F.lit(500400.0), F.lit(4099400.0), 36)).first()
+    c = resample.Transform(lon, lat, 1e-4, 1e-4, 5, 5)
+    around = resample.align(plane, a, cells.where("row < 5 AND col < 5"), c, "v", lambda x, y: S.utm(x, y, 36))
+    at = resample.centres(around, c, "lon", "lat")
+    east, north = S.utm("lon", "lat", 36)
+    for r in at.select("v", (east * 0.01 + north * 0.02).alias("want")).collect():
+        assert math.isclose(r["v"], r["want"], rel_tol=1e-9)
+    points = spark.createDataFrame([(500000.0, 4100000.0), (500029.9, 4099970.1), (501500.0, 4099000.0), (499999.0, 4100000.0)], "x double, y double")
+    assert [(r["row"], r["col"]) for r in resample.cells_of(points, "x", "y", a).collect()] == [(0, 0), (0, 0), (None, None), (None, None)]
+
+
 def test_rank_statistics(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 40, 500).astype(float)
@@ -221,6 +358,17 @@ def test_urls_and_configs(tmp_path, monkeypatch):
     assert area.name == "a" and area.options == {"cell": "30", "other": ["${UNSET_NAME}"]}
 
 
+def test_utm_of_the_south_and_back(spark):
+    rows = [(lon, lat) for lon in (31.0, 33.0, 35.5) for lat in (-60.0, -12.5, 0.0, 37.25, 70.0)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    for south in (False, True):
+        e, n = S.utm("lon", "lat", 36, south)
+        x, y = S.lonlat("e", "n", 36, south)
+        for r in df.withColumns({"e": e, "n": n}).select("*", x.alias("x"), y.alias("y")).collect():
+            assert math.isclose(r["x"], r["lon"], abs_tol=1e-8) and math.isclose(r["y"], r["lat"], abs_tol=1e-8)
+            assert not south or r["lat"] > 0 or 0 < r["n"] <= 1e7
+
+
 def test_utm(spark):
     e, n = S.utm(F.lit(33.0), F.lit(0.0), 36)
     got = spark.range(1).select(e.alias("e"), n.alias("n")).first()
