@@ -589,7 +589,7 @@ def _report_sql() -> str:
 @query(_report_sql())
 def stats_report(spark, sf_dir):
     """Rank statistics by wetness and slope quartiles, strata of both seasons and the index's summary as one relation"""
-    x = nddi_pixels(spark, sf_dir).withColumn("twi", (F.col("row") * 7 + F.col("col") * 3) % 97 + 0.0).withColumn("slope", (F.col("row") * 5 + F.col("col") * 11) % 31 + 0.0)
+    x = season_pair(spark, sf_dir).withColumn("nddi", S.nddi("wet", "dry", S.db_to_linear_libm)).withColumn("twi", (F.col("row") * 7 + F.col("col") * 3) % 97 + 0.0).withColumn("slope", (F.col("row") * 5 + F.col("col") * 11) % 31 + 0.0)
     return stats.report(checkpointed(x.where("wet IS NOT NULL AND dry IS NOT NULL AND nddi IS NOT NULL")), "wet", "dry", "nddi", "twi", "slope", checkpointed)
 
 

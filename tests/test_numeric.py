@@ -22,3 +22,14 @@ def test_gamma_shape_solves_its_equation(spark):
     k, s = got["shape"], math.log(math.fsum(x) / len(x)) - math.fsum(map(math.log, x)) / len(x)
     up = lambda k: math.log(k + 50) - 1 / (2 * (k + 50)) - 1 / (12 * (k + 50) ** 2) + 1 / (120 * (k + 50) ** 4) - math.fsum(1 / (k + i) for i in range(50))
     assert 20 < k < 200 and abs(math.log(k) - up(k) - s) < 1e-12
+
+
+def test_index_of_the_c_library_bit_by_bit(spark):
+    pairs = [(-25 + i * 0.04, -24.96 + (i * 37 % 1000) * 0.04) for i in range(2000)]
+    rows = spark.createDataFrame(pairs + [(None, 1.0)], "wet double, dry double").select("wet", "dry", S.nddi("wet", "dry", S.db_to_linear_libm).alias("x")).collect()
+    for r in rows:
+        if r["wet"] is None:
+            assert r["x"] is None
+            continue
+        w, d = math.pow(10.0, r["wet"] / 10), math.pow(10.0, r["dry"] / 10)
+        assert r["x"] == (w - d) / (w + d)
