@@ -11,13 +11,14 @@ discarded. A pair of blocks returns a forest of its links; the forests' componen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, NULL_ID, Powers, byte_table, chunks, mix, order_id, word_hashes, words, written
+from .common import SPACED, NULL_ID, Powers, byte_table, chunks, discard, mix, order_id, word_hashes, words, written
 from .components import components
 
 KEYS = np.random.default_rng(41).integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,38 +161,59 @@ def nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -> DataFr
     return given.mapInArrow(run, "doc_id long, n_shingles long, class int, node long" + "".join(f", {c} long" for c in more))
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19) -> DataFrame:
-    """Links a, b between sets that agree in a slice, a star for each slice's group: rows of the input tasks are
-    grouped before the shuffle, so a group comes as a row of each task."""
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of nodes 0 to n - 1: the smallest one that links between a and b reach."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19, passes: int = 4) -> DataFrame:
+    """Links a, b that join the sets that agree in a slice. Rows of the input tasks are grouped before the shuffle: sets
+    that a task has joined are one link each to the smallest of them, which alone stands for them in the slices' groups.
+    The slices are dealt in some passes over the texts, so that only that part of their keys is on disk at a time."""
     common = common_shingles(docs, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, slices, got, size = Shingler(n), Slices(percent, common), [], 0
+    def run(turn: int):
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler, slices, got, size = Shingler(n), Slices(percent, common), [], 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if not got:
+                    return
+                ids, at = np.unique(np.array([v for _, v in got], np.int64), return_inverse=True)
+                keys, own = np.concatenate([k for k, _ in got]), np.repeat(at, [len(k) for k, _ in got])
+                got.clear()
+                order = np.argsort(keys)
+                keys, own = keys[order], own[order]
+                new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+                leader = own[new][np.cumsum(new) - 1]
+                rest = ~new & (own != leader)
+                root = joined(own[rest], leader[rest], len(ids))
+                other = np.flatnonzero(root != np.arange(len(ids)))
+                m = int(new.sum())
+                # a row with a leader is a link already, any key will do
+                yield pa.record_batch({"key": pa.array(np.concatenate([keys[new].view(np.int64), ids[other]])), "node": pa.array(np.concatenate([ids[root[own[new]]], ids[other]])), "leader": pa.array(np.concatenate([np.zeros(m, np.int64), ids[root[other]]]), mask=np.arange(m + len(other)) < m)})
+
+            for batch in batches:
+                for x in shingler.sets(batch.column("text")):
+                    if len(x):
+                        keys = slices.signatures(x)
+                        got.append((keys[keys % np.uint64(passes) == turn], node_of(x)))
+                        size += len(got[-1][0])
+                        if size > held:
+                            yield from flush()
+                            size = 0
+            yield from flush()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not got:
-                return
-            keys, own = np.concatenate([k for k, _ in got]), np.repeat(np.array([v for _, v in got], np.int64), [len(k) for k, _ in got])
-            order = np.argsort(keys)
-            keys, own = keys[order], own[order]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            leader = own[new][np.cumsum(new) - 1]
-            rest = ~new & (own != leader)
-            pairs = np.unique(np.stack([own[rest], leader[rest]]), axis=1) if rest.any() else np.empty((2, 0), np.int64)
-            m = int(new.sum())
-            # a row with a leader is a link already, any key will do
-            yield pa.record_batch({"key": pa.array(np.concatenate([keys[new].view(np.int64), pairs[0]])), "node": pa.array(np.concatenate([own[new], pairs[0]])), "leader": pa.array(np.concatenate([np.zeros(m, np.int64), pairs[1]]), mask=np.arange(m + pairs.shape[1]) < m)})
-            got.clear()
-
-        for batch in batches:
-            for x in shingler.sets(batch.column("text")):
-                if len(x):
-                    got.append((slices.signatures(x), node_of(x)))
-                    size += len(got[-1][0])
-                    if size > held:
-                        yield from flush()
-                        size = 0
-        yield from flush()
+        return made
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, 0
@@ -210,11 +232,16 @@ def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19)
                 last, first = key[-1], lead[-1]
             pairs = np.concatenate(links, axis=1)
             if pairs.shape[1]:
-                pairs = np.unique(pairs, axis=1)
-                yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                ids, at = np.unique(pairs, return_inverse=True)
+                root = joined(*at.reshape(pairs.shape), len(ids))
+                other = root != np.arange(len(ids))
+                yield pa.record_batch({"a": pa.array(ids[other]), "b": pa.array(ids[root[other]])})
 
-    rows = docs.select("text").mapInArrow(run, "key long, node long, leader long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long")
+    def dealt(turn: int) -> DataFrame:
+        rows = docs.select("text").mapInArrow(run(turn), "key long, node long, leader long")
+        return written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long"), "candidates")
+
+    return reduce(DataFrame.union, [dealt(turn) for turn in range(passes)])
 
 
 def linked(ours: list[np.ndarray], theirs: list[np.ndarray], percent: int, same: bool, columns: int = 4096) -> Iterator[tuple[int, int]]:
@@ -272,12 +299,14 @@ def forest(links: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 128, most_block: int = 1024) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 128, most_block: int = 1024, disk: int = 1 << 40) -> DataFrame:
     """Links a, b within clusters: rows of blocks of a cluster are multiplied, pair of blocks by pair of blocks.
 
     members: owner (a row's order id), node, root, class. A block holds rows of one size class of a cluster, an eighth
     of them, but least_block at least and most_block at most; it meets the blocks of its own class and the next ones,
-    as other sizes cannot link. A task holds the sets of two blocks.
+    as other sizes cannot link. A task holds the sets of two blocks. A block's sets are dealt once for each block that it
+    meets, so the bytes of that grow with the square of a class; from `disk` bytes on, pairs of blocks are dealt in as many
+    passes as keep to it.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,18 +348,35 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, le
     beside = lambda step, name: blocks.select("root", (F.col("class") + step).alias("class"), F.col("own").alias(name))
     blocks = blocks.join(beside(1, "below"), ["root", "class"], "left").join(beside(-1, "above"), ["root", "class"], "left").na.fill(0, ["below", "above"])
     # a plain table, so that the members of a very large cluster are dealt to several tasks
-    wanted = members.join(written(blocks, "blocks"), ["root", "class"])
+    blocks = written(blocks, "blocks")
+    # bytes that the pairs take: a row a class
+    dealt = counts.join(blocks, ["root", "class"]).groupBy("class").agg(F.sum(F.col("size") * (F.col("own") + F.col("below") + F.col("above"))).alias("n")).collect()
+    bounds = Slices(percent)
+    bounds.class_of(1 << 30)
+    passes = max(1, -(-sum(8 * r["n"] * bounds.bounds[r["class"] + 1] for r in dealt) // max(1, disk)))
+    wanted = members.join(blocks, ["root", "class"])
     texts = docs.select(order_id().alias("owner"), "text")
     rows = texts.join(wanted, "owner").select("text", "root", "node", "class", "below", "own", "above")
     rows = rows.mapInArrow(sets, "root long, node long, class int, below int, own int, above int, columns binary")
+    if passes > 1:
+        rows = rows_held = written(rows, "sets")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
     k, b = F.col("class"), F.col("block")
     each = lambda count, f: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), f)).otherwise(F.array())
     pair = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
     pairs = F.concat(each("own", lambda o: pair(k, F.least(b, o), k, F.greatest(b, o))), each("above", lambda o: pair(k, b, k + 1, o)), each("below", lambda o: pair(k - 1, o, k, b)))
     paired = rows.withColumn("pair", F.explode(pairs)).select("root", "pair.*", "class", "block", "node", "columns")
-    dealt = paired.repartition("root", "c", "i", "d", "j").sortWithinPartitions("root", "c", "i", "d", "j")
-    return dealt.mapInArrow(products, "a long, b long")
+    key = ["root", "c", "i", "d", "j"]
+
+    def part(turn: int) -> DataFrame:
+        mine = paired if passes == 1 else paired.where(F.pmod(F.xxhash64(F.lit(7), *key), F.lit(passes)) == turn)
+        return mine.repartition(*key).sortWithinPartitions(*key).mapInArrow(products, "a long, b long")
+
+    if passes == 1:
+        return part(0)
+    links = reduce(DataFrame.union, [written(part(turn), "verified") for turn in range(passes)])
+    discard(rows_held)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -355,10 +401,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 def _linked_nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes of docs, the nodes with a link and their component's root, and each node's owner."""
     every = written(nodes(docs, n, percent, hashed), "nodes")
+    shingles = every.agg(F.sum("n_shingles")).first()[0] or 0
     owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("class").alias("class"))
     clusters = components(candidate_links(docs, n, percent))
     members = written(clusters.join(owners, "node").select("owner", "node", "root", "class"), "members")
-    return every, components(verified_links(docs, members, n, percent)), owners
+    return every, components(verified_links(docs, members, n, percent, disk=4 * shingles)), owners
 
 
 def first_of_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
