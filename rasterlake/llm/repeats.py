@@ -237,12 +237,21 @@ class Repeats(ABC):
         texts = keyed.select("doc", "chk", "text").join(wanted, ["doc", "chk"]).select("doc", "text", "places")
         passages = texts.mapInArrow(self._contexts(np.array([r["gram"] for r in crowds], np.int64)), self.PASSAGES)
         found = passages.repartition("deal").sortWithinPartitions("deal").mapInArrow(self.index, self.FOUND)
-        found = written(found, "found")
+        # a context's windows as one row, neighbours of the same least row as one run: a place then meets one row, not one for each
+        # of its windows. No list is longer than a context has windows
+        runs = found.groupBy("gram", "ctx").agg(F.sort_array(F.collect_list(F.struct("first", "last", "least"))).alias("runs"))
+        run = lambda first, last, least: F.struct(first.alias("first"), last.alias("last"), least.alias("least"))
+        meets = lambda x, r: (F.size(x) > 0) & (F.get(x, F.size(x) - 1)["least"] == r["least"]) & (r["first"] <= F.get(x, F.size(x) - 1)["last"] + 1)
+        longer = lambda x, r: F.concat(F.slice(x, 1, F.size(x) - 1), F.array(run(F.get(x, F.size(x) - 1)["first"], F.greatest(F.get(x, F.size(x) - 1)["last"], r["last"]), r["least"])))
+        empty = F.array().cast("array<struct<first:int,last:int,least:bigint>>")
+        merged = F.aggregate("runs", empty, lambda x, r: F.when(meets(x, r), longer(x, r)).otherwise(F.concat(x, F.array(run(r["first"], r["last"], r["least"])))))
+        found = written(runs.select("gram", "ctx", merged.alias("runs")), "found")
         discard(contexts)
         start = F.shiftright("pos", 32) - F.shiftright("pos", 24).bitwiseAND(F.lit(255))
-        hits = places.join(found, ["gram", "ctx"]).where("doc > least")
-        spans = hits.select("doc", "chk", F.struct((start + F.col("first")).alias("first"), (start + F.col("last") + self.width).alias("end")).alias("span"))
-        return keyed, spans.groupBy("doc", "chk").agg(F.collect_list("span").alias("spans"))
+        span = lambda r: F.struct((start + r["first"]).alias("first"), (start + r["last"] + self.width).alias("end"))
+        own = F.transform(F.filter("runs", lambda r: F.col("doc") > r["least"]), span)
+        spans = places.join(found, ["gram", "ctx"]).select("doc", "chk", own.alias("spans")).where(F.size("spans") > 0)
+        return keyed, spans.groupBy("doc", "chk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rasterlake.llm.jaccard_join import candidate_links, jaccard_components, nodes, verified_links
+from rasterlake.llm.suffix_dedup import SuffixRepeats
 from rasterlake.plans.tables import checkpointed
 
 
@@ -56,3 +57,15 @@ def test_blocks_in_passes(spark):
 
 def test_components_of_near_copies(spark):
     assert {r["component_id"] for r in jaccard_components(near_copies(spark, 50, 3), 5, 80).collect()} == {0}
+
+
+def test_a_place_meets_one_row_of_its_context(spark):
+    """A passage of 300 bytes in other surroundings has 101 windows, which are dealt one by one; a place gets runs, not windows."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(300)
+    docs = spark.createDataFrame([(i, text(400) + passage + text(400)) for i in range(12)], "doc_id long, text string")
+    _, spans = SuffixRepeats(200, 64, crowd=1).spans(docs)
+    for r in spans.collect():
+        covered = {p for s in r["spans"] for p in range(s["first"], s["end"])}
+        assert len(r["spans"]) <= 20 and {*range(400, 700)} <= covered
