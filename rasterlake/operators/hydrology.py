@@ -8,21 +8,23 @@ before that and one after it. `checkpoint` cuts a plan: it writes a DataFrame to
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stream_power, twi
+from .checkpoints import plain
 from .stats import exact_quantiles
 from .stencil import neighbours
 
 #: Row and column steps to the neighbours a to i, the centre left out, with distances in cells.
 STEPS = {"a": (-1, -1), "b": (-1, 0), "c": (-1, 1), "d": (0, -1), "f": (0, 1), "g": (1, -1), "h": (1, 0), "i": (1, 1)}
 TILE = 256
-#: Graph edges up to which a graph is solved in the driver's memory.
+#: Graph edges up to which a graph is solved in one task's memory.
 LOCAL = 1 << 18
 #: Labels are numbers of tiles times this and numbers of border cells; 0 is the outside.
 LABELS = 1 << 20
@@ -31,7 +33,7 @@ Checkpoint = Callable[[DataFrame], DataFrame]
 
 
 def _eager(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
+    return plain(df.checkpoint())
 
 
 def _tile(size: int, across: int = 1 << 21) -> Column:
@@ -166,6 +168,11 @@ def _spill_local(edges: list[tuple[int, int, float]]) -> dict[int, float]:
     return level
 
 
+def _spilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    level = _spill_local([e for batch in batches for e in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "w")))])
+    yield pa.record_batch({"node": pa.array(list(level), pa.int64()), "level": pa.array(list(level.values()), pa.float64())})
+
+
 def spill_levels(edges: DataFrame, checkpoint: Checkpoint = _eager, local: int = LOCAL) -> DataFrame:
     """node, level: the smallest possible highest edge of a way from each node to node 0. edges: a, b, w.
 
@@ -176,8 +183,7 @@ def spill_levels(edges: DataFrame, checkpoint: Checkpoint = _eager, local: int =
     spark = edges.sparkSession
     edges = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.min("w").alias("w")))
     if edges.count() <= local:
-        level = _spill_local([tuple(r) for r in edges.collect()])
-        return spark.createDataFrame(pd.DataFrame({"node": np.array(list(level), np.int64), "level": np.array(list(level.values()), np.float64)}), "node long, level double")
+        return edges.coalesce(1).mapInArrow(_spilled, "node long, level double")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).where("node <> 0").distinct()
     sets = checkpoint(nodes.select("node", F.col("node").alias("root"), F.lit(float("-inf")).alias("level")))
     while True:

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+from ..operators.checkpoints import plain
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the folder of spark.checkpoint.dir; a local session without one gets its own."""
@@ -17,4 +19,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             at = tempfile.mkdtemp(prefix="rasterlake-")
         sc.setCheckpointDir(at)
-    return df.checkpoint()
+    return plain(df.checkpoint())
