@@ -46,6 +46,17 @@ def may_be_cut(path: str) -> bool:
     return whole and told["normalizer"] == CUT_NORMALIZER and told["pre_tokenizer"] == CUT_PRE_TOKENIZER and told["model"]["type"] == "BPE" and not told["truncation"] and not told["padding"]
 
 
+def word_ends(path: str) -> np.ndarray | None:
+    """By id: whether it ends a word; None if the vocabulary has no sign for that."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if not (sign := model.get("end_of_word_suffix")):
+        return None
+    ends = np.zeros(max(model["vocab"].values(), default=-1) + 1, bool)
+    ends[[i for x, i in model["vocab"].items() if x.endswith(sign)]] = True
+    return ends
+
+
 def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
@@ -73,6 +84,7 @@ class Encoder:
 
         self.tokenizer, self.most, self.cut = Tokenizer.from_file(path), most, may_be_cut(path)
         self.powers, self.folded, self.exact = Powers(71), byte_table(72, lower=True), byte_table(73)
+        self.ends = word_ends(path) if self.cut else None
         self.slots = 1 << max(4, (2 * most - 1).bit_length())
         self.forget()
 
@@ -80,6 +92,15 @@ class Encoder:
         #: A table of hashes and their numbers; a hash stands at its slot, or at the next free one.
         self.keys, self.numbers, self.known = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), 0
         self.starts, self.counts, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.hashes, self.again = np.empty(0, np.uint64), np.empty(0, bool)  # again: found in a later chunk
+
+    def thin(self) -> None:
+        """Forgets the pieces that no later chunk had; all of them, if the others take half of the room."""
+        kept = np.flatnonzero(self.again)
+        kept = kept[: len(kept) if 2 * len(kept) <= self.most else 0]
+        hashes, ids, counts = self.hashes[kept], self.pool[ranges(self.starts[kept], self.counts[kept])], self.counts[kept]
+        self.forget()
+        self.add(hashes, ids, counts)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of hashes, -1 for new ones."""
@@ -94,12 +115,44 @@ class Encoder:
         return out
 
     def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.array([len(x) for x in got], np.int64)
-        starts, number = len(self.pool) + np.cumsum(counts) - counts, len(self.counts) + np.arange(len(got))
-        self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.uint32)])
+        kind = np.array([x.isalpha() + (x.isalpha() and x.isascii()) for x in pieces], np.int8)
+        for k, ids_of in enumerate((self.ids_of, self.ids_of_words, self.ids_of_plain_words)):
+            of_kind = np.flatnonzero(kind == k)
+            if len(of_kind):
+                self.add(hashes[of_kind], *ids_of([pieces[i] for i in of_kind.tolist()]))
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and the number of ids of each."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def ids_of_plain_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids_of for texts of ASCII letters: what a tokenizer that may be cut does before its model is to lower them."""
+        model = self.tokenizer.model
+        got = [[x.id for x in model.tokenize(text.lower())] for text in texts]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def ids_of_words(self, texts: list[str], together: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """ids_of for texts of letters: many at a time, as a text of words. Each of them ends a word at least, so if there are as
+        many ends as texts, each is one word; else they are encoded one by one."""
+        if self.ends is None:
+            return self.ids_of(texts)
+        made = []
+        for k in range(0, len(texts), together):
+            part = texts[k : k + together]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            whole = len(ends) == len(part) and ends[-1] == len(ids) - 1
+            made.append((ids, np.diff(ends, prepend=-1)) if whole else self.ids_of(part))
+        ids, counts = zip(*made)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        starts, number = len(self.pool) + np.cumsum(counts) - counts, len(self.counts) + np.arange(len(counts))
+        self.pool = np.concatenate([self.pool, ids])
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
-        self.known += len(got)
+        self.hashes, self.again = np.concatenate([self.hashes, hashes]), np.concatenate([self.again, np.zeros(len(hashes), bool)])
+        self.known += len(counts)
         mask, at = np.uint64(self.slots - 1), hashes & np.uint64(self.slots - 1)
         while len(hashes):
             free = self.keys[at] == 0
@@ -113,8 +166,7 @@ class Encoder:
         if not self.cut:
             whole = data.tobytes()
             texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+            return self.ids_of(texts)
         starts, ends, first = pieces(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
@@ -123,10 +175,16 @@ class Encoder:
         hashes = word_hashes(data, starts, ends, self.exact if b"<|" in whole else self.folded, self.powers)
         hashes[hashes == 0] = 1
         number = self.find(hashes)
+        self.again[number[number >= 0]] = True
         new = np.flatnonzero(number < 0)
         if len(new):
             distinct, one = np.unique(hashes[new], return_index=True)
             if self.known + len(distinct) > self.most:
+                self.thin()
+                number = self.find(hashes)
+                new = np.flatnonzero(number < 0)
+                distinct, one = np.unique(hashes[new], return_index=True)
+            if 2 * (self.known + len(distinct)) > self.slots:
                 self.forget()
                 distinct, one = np.unique(hashes, return_index=True)
                 new = np.arange(len(hashes))

@@ -455,3 +455,28 @@ def test_targets():
     assert got["a"] == 30 and math.isclose(sum(got.values()), 310) and got["d"] > got["b"] > got["c"]
     assert targets({"a": 0}) == {"a": 0.0}
     assert list(targets({"é": 1, "z": 1, "Z": 1, None: 1})) == ["Z", "z", "é", None]
+
+
+def test_new_pieces_by_their_letters():
+    """Pieces of letters take shorter ways to the same ids, whatever stands beside them in a batch."""
+    enc = Encoder(vocabulary("word_bpe_49k.json"))
+    texts = ["Straße", "İstanbul", "plain", "WORDS", "ΣΑΣ", "ﬁne", "日本語", "ǅ", "é" * 40, "don't", "12ab", "éx", "ºª", "ᄀ", "각", "x" * 500, "ñ…"]
+    rows = [b" ".join(x.encode() for x in texts[k:] + texts[:k]) for k in range(len(texts))]
+    data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    ids, counts = enc.encode(data, offsets)
+    want = [x.ids for x in enc.tokenizer.encode_batch([x.decode() for x in rows], add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    for of_kind in (enc.ids_of_words, enc.ids_of):
+        ids, counts = of_kind(["İ", "ab", "İx", "é"])
+        assert counts.tolist() == [len(x.ids) for x in enc.tokenizer.encode_batch(["İ", "ab", "İx", "é"], add_special_tokens=False)]
+
+
+def test_pieces_in_use_are_kept():
+    """When room ends, pieces that later chunks had stay; single ones go, so that common words are encoded once."""
+    enc, learned = Encoder(vocabulary("word_bpe_49k.json"), most=64), Counter()
+    learn = enc.learn
+    enc.learn = lambda hashes, texts: (learned.update(texts), learn(hashes, texts))[1]
+    for k in range(40):
+        data = np.frombuffer(" ".join(["some", "common", "words", *(f"q{k}x{i}" for i in range(10))]).encode(), np.uint8)
+        enc.encode(data, np.array([0, len(data)]))
+    assert max(learned.values()) == 1 and len(learned) == 403 and enc.known <= 64
