@@ -299,7 +299,7 @@ def forest(links: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 128, most_block: int = 1024, disk: int = 1 << 40) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 256, most_block: int = 1024, disk: int = 1 << 40) -> DataFrame:
     """Links a, b within clusters: rows of blocks of a cluster are multiplied, pair of blocks by pair of blocks.
 
     members: owner (a row's order id), node, root, class. A block holds rows of one size class of a cluster, an eighth
@@ -365,11 +365,12 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, le
     each = lambda count, f: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), f)).otherwise(F.array())
     pair = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
     pairs = F.concat(each("own", lambda o: pair(k, F.least(b, o), k, F.greatest(b, o))), each("above", lambda o: pair(k, b, k + 1, o)), each("below", lambda o: pair(k - 1, o, k, b)))
-    paired = rows.withColumn("pair", F.explode(pairs)).select("root", "pair.*", "class", "block", "node", "columns")
     key = ["root", "c", "i", "d", "j"]
 
     def part(turn: int) -> DataFrame:
-        mine = paired if passes == 1 else paired.where(F.pmod(F.xxhash64(F.lit(7), *key), F.lit(passes)) == turn)
+        # a pass makes rows for its own pairs only
+        own = pairs if passes == 1 else F.filter(pairs, lambda x: F.pmod(F.xxhash64(F.lit(7), "root", *[x[c] for c in key[1:]]), F.lit(passes)) == turn)
+        mine = rows.withColumn("pair", F.explode(own)).select("root", "pair.*", "class", "block", "node", "columns")
         return mine.repartition(*key).sortWithinPartitions(*key).mapInArrow(products, "a long, b long")
 
     if passes == 1:

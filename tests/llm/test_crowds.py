@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from rasterlake.llm import jaccard_join
 from rasterlake.llm.jaccard_join import candidate_links, jaccard_components, nodes, verified_links
 from rasterlake.llm.suffix_dedup import SuffixRepeats
 from rasterlake.plans.tables import checkpointed
@@ -55,6 +56,32 @@ def test_blocks_in_passes(spark):
     assert joined[0] == joined[1] and len(joined[0]) < 60
 
 
+def test_a_pass_makes_rows_for_its_own_pairs(spark, monkeypatch):
+    """All passes together make as many rows as one does: none makes the others' and throws them away."""
+    docs = checkpointed(near_copies(spark, 60, 3))
+    members = checkpointed(nodes(docs, 5, 80).select(F.col("doc_id").alias("owner"), "node", F.lit(1).cast("long").alias("root"), "class"))
+    written, parts = jaccard_join.written, []
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (parts.append(df) if name == "verified" else None) or written(df, name))
+    monkeypatch.setattr(jaccard_join, "discard", lambda df: None)
+
+    def generated(plan):
+        own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+        return own + sum(generated(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = []
+        for disk in (1 << 40, 20000):
+            parts.clear()
+            links = verified_links(docs, members, 5, 80, least_block=16, disk=disk)
+            for df in parts or [links]:
+                df.collect()
+            made.append(sum(generated(df._jdf.queryExecution().executedPlan()) for df in parts or [links]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) > 3 and made[0] == made[1] > 60
+
+
 def test_components_of_near_copies(spark):
     assert {r["component_id"] for r in jaccard_components(near_copies(spark, 50, 3), 5, 80).collect()} == {0}
 
