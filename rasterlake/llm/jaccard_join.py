@@ -21,9 +21,18 @@ from pyspark.sql import functions as F
 from .common import SPACED, NULL_ID, Powers, byte_table, chunks, discard, mix, order_id, word_hashes, words, written
 from .components import components
 
+#: Lower bits of a shingle's hash that don't tell whether it is common. Bytes on disk of a slice's key with its node, and what
+#: a pass may take of them however small the texts.
+PREFIX, KEY_BYTES, LEAST_DISK = np.uint64(16), 20, 1 << 28
 KEYS = np.random.default_rng(41).integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """As np.unique, by a sort: many times faster for hashes than the table that numpy 2.3 makes of them."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Shingler:
     def __init__(self, n: int):
         self.n, self.powers, self.table = n, Powers(42), byte_table(43, lower=True)
@@ -31,8 +40,7 @@ class Shingler:
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Each row's distinct shingles as sorted 64-bit hashes."""
         for x in self.sequences(column):
-            x = np.sort(x)
-            yield x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+            yield distinct(x)
 
     def sequences(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Each row's shingles in order, as 64-bit hashes."""
@@ -65,11 +73,11 @@ class Slices:
     classes; a scheme serves the pairs whose larger set is of its class, and cuts both into one slice more than their
     columns can differ in, and `spare` ones. So a set may leave out up to `spare` slices that are idle: that have no
     columns but common ones. Which slices are idle depends on their columns alone, so two sets that agree in a slice
-    both leave it out or neither does."""
+    both leave it out or neither does. A shingle is common if it has the upper 48 bits of one of `common`."""
 
     def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent, self.bounds = percent, [1, 2]
-        self.common = np.empty(0, np.uint64) if common is None else common
+        self.common = np.empty(0, np.uint64) if common is None else np.sort(common >> PREFIX)
 
     def scheme(self, s: int) -> tuple[int, int]:
         """Slices, and spare ones among them."""
@@ -88,9 +96,10 @@ class Slices:
         """Of a sorted set: a hash of each slice's columns, for the schemes of its class and the next."""
         own, out = self.class_of(len(x)), []
         unit, value = (x >> np.uint64(11)).astype(np.float64) / (1 << 53), mix(x ^ KEYS[62])
-        at = np.searchsorted(self.common, x)
+        upper = x >> PREFIX
+        at = np.searchsorted(self.common, upper)
         at[at == len(self.common)] = 0
-        rare = (self.common[at] != x).astype(np.int64) if len(self.common) else np.ones(len(x), np.int64)
+        rare = (self.common[at] != upper).astype(np.int64) if len(self.common) else np.ones(len(x), np.int64)
         for s in (own, own + 1):
             n, spare = self.scheme(s)
             part = (unit * n).astype(np.int64)
@@ -106,9 +115,9 @@ class Slices:
 
 
 def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int = 16, least: int = 3, most: int = 1 << 17) -> np.ndarray:
-    """Shingles of passages that stand in many surroundings, sorted: those followed, `distance` words on, by the most
-    different shingles. Copies of one text don't make their shingles common. Every document counts; the number that is
-    kept is bounded, and any choice gives the same links: it only decides which candidates are looked at."""
+    """Shingles of passages that stand in many surroundings, by their upper 48 bits, sorted: those followed, `distance` words
+    on, by the most different shingles. Copies of one text don't make their shingles common. Every document counts; the number
+    that is kept is bounded, and any choice gives the same links: it only decides which candidates are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, got, size = Shingler(n), [], 0
@@ -116,18 +125,13 @@ def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int
         def flush() -> Iterator[pa.RecordBatch]:
             here, there = (np.concatenate(x) for x in zip(*got))
             got.clear()
-            pairs = np.sort(mix(here) & ~np.uint64(0xFFFF) | mix(there) & np.uint64(0xFFFF))  # a shingle by 48 bits, what follows by 16
-            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] >> np.uint64(16)
+            pairs = here >> PREFIX << PREFIX | there & np.uint64(0xFFFF)  # a shingle by 48 bits, what follows by 16
+            pairs = distinct(pairs) >> PREFIX
             heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
             count = np.diff(np.concatenate([heads, [len(pairs)]]))
             many = count >= least
             if many.any():
-                keys, number = pairs[heads][many], count[many]
-                mine = np.unique(here)
-                place = np.searchsorted(keys, mixed := mix(mine) >> np.uint64(16))
-                place[place == len(keys)] = 0
-                known = keys[place] == mixed
-                yield pa.record_batch({"shingle": pa.array(mine[known].view(np.int64)), "n": pa.array(number[place[known]].astype(np.int64))})
+                yield pa.record_batch({"shingle": pa.array((pairs[heads][many] << PREFIX).view(np.int64)), "n": pa.array(count[many].astype(np.int64))})
 
         for batch in batches:
             for ordered in shingler.sequences(batch.column("text")):
@@ -175,10 +179,10 @@ def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = up
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19, passes: int = 4) -> DataFrame:
+def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20, passes: int = 1) -> DataFrame:
     """Links a, b that join the sets that agree in a slice. Rows of the input tasks are grouped before the shuffle: sets
     that a task has joined are one link each to the smallest of them, which alone stands for them in the slices' groups.
-    The slices are dealt in some passes over the texts, so that only that part of their keys is on disk at a time."""
+    The slices are dealt in `passes` passes over the texts, so that only that part of their keys is on disk at a time."""
     common = common_shingles(docs, n)
 
     def run(turn: int):
@@ -206,7 +210,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 19,
                 for x in shingler.sets(batch.column("text")):
                     if len(x):
                         keys = slices.signatures(x)
-                        got.append((keys[keys % np.uint64(passes) == turn], node_of(x)))
+                        got.append((keys[keys % np.uint64(passes) == turn] if passes > 1 else keys, node_of(x)))
                         size += len(got[-1][0])
                         if size > held:
                             yield from flush()
@@ -257,7 +261,7 @@ def linked(ours: list[np.ndarray], theirs: list[np.ndarray], percent: int, same:
         return
     a, b = np.concatenate(ours), np.concatenate(theirs)
     ra, rb = np.repeat(np.arange(len(ours)), na), np.repeat(np.arange(len(theirs)), nb)
-    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    shared = np.intersect1d(distinct(a), distinct(b), assume_unique=True)
     ca, cb = np.searchsorted(shared, a), np.searchsorted(shared, b)
     ka, kb = ca < len(shared), cb < len(shared)
     ka[ka], kb[kb] = shared[ca[ka]] == a[ka], shared[cb[kb]] == b[kb]
@@ -299,6 +303,14 @@ def forest(links: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def key_passes(every: DataFrame, percent: int, disk: int) -> int:
+    """In how many passes the slices' keys of all nodes keep to `disk` bytes each."""
+    slices = Slices(percent)
+    slices.class_of(1 << 30)
+    sizes = every.where("node IS NOT NULL").groupBy("class").count().collect()  # a row a size class
+    return max(1, -(-KEY_BYTES * sum(r["count"] * slices.scheme(s)[0] for r in sizes for s in (r["class"], r["class"] + 1)) // max(1, disk)))
+
+
 def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 256, most_block: int = 1024, disk: int = 1 << 40) -> DataFrame:
     """Links a, b within clusters: rows of blocks of a cluster are multiplied, pair of blocks by pair of blocks.
 
@@ -404,7 +416,7 @@ def _linked_nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -
     every = written(nodes(docs, n, percent, hashed), "nodes")
     shingles = every.agg(F.sum("n_shingles")).first()[0] or 0
     owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("class").alias("class"))
-    clusters = components(candidate_links(docs, n, percent))
+    clusters = components(candidate_links(docs, n, percent, passes=key_passes(every, percent, max(LEAST_DISK, 8 * shingles))))
     members = written(clusters.join(owners, "node").select("owner", "node", "root", "class"), "members")
     return every, components(verified_links(docs, members, n, percent, disk=4 * shingles)), owners
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rasterlake.llm import jaccard_join
@@ -39,6 +40,30 @@ def test_links_of_near_copies_are_few(spark):
     assert len(part) == 240 and len({root(x) for x in part}) == 1
 
 
+def test_keys_in_passes(spark, monkeypatch):
+    """Texts are read once for the slices' keys as long as these keep to the shingles' bytes; in more passes, links join the same sets."""
+    docs = checkpointed(near_copies(spark, 60, 3))
+    written, made = jaccard_join.written, []
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: made.append(name) or written(df, name))
+    once = jaccard_components(docs, 5, 80).collect()
+    assert made.count("candidates") == 1
+    made.clear()
+    monkeypatch.setattr(jaccard_join, "LEAST_DISK", 0)
+    assert sorted(jaccard_components(docs, 5, 80).collect()) == sorted(once)
+    assert made.count("candidates") == 2
+
+
+def test_common_shingles(spark):
+    """A passage in many surroundings is common by the upper 48 bits of its shingles; copies of a text are not."""
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, copy = text(12), text(60)
+    docs = spark.createDataFrame([(i, f"{text(20)} {passage} {text(30)}") for i in range(40)] + [(100 + i, copy) for i in range(40)], "doc_id long, text string").coalesce(1)
+    found = jaccard_join.common_shingles(docs, 3)
+    upper = lambda t: {int(x) >> 16 << 16 for x in next(jaccard_join.Shingler(3).sequences(pa.array([t])))}
+    assert {int(x) for x in found} == upper(passage)
+
+
 def test_blocks_in_passes(spark):
     """However few bytes a pass may take, the links join the same sets."""
     docs = checkpointed(near_copies(spark, 60, 3))
