@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, NULL_ID, Powers, byte_table, chunks, discard, mix, order_id, word_hashes, words, written
-from .components import components
+from .components import components, joined
 
 #: Lower bits of a shingle's hash that don't tell whether it is common. Bytes on disk of a slice's key with its node, and what
 #: a pass may take of them however small the texts.
@@ -165,20 +165,6 @@ def nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -> DataFr
     return given.mapInArrow(run, "doc_id long, n_shingles long, class int, node long" + "".join(f", {c} long" for c in more))
 
 
-def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Of nodes 0 to n - 1: the smallest one that links between a and b reach."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return root
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while ((up := root[root]) != root).any():
-            root = up
-
-
 def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20, passes: int = 1) -> DataFrame:
     """Links a, b that join the sets that agree in a slice. Rows of the input tasks are grouped before the shuffle: sets
     that a task has joined are one link each to the smallest of them, which alone stands for them in the slices' groups.

@@ -3,9 +3,10 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.llm import jaccard_join
+from rasterlake.llm import components, jaccard_join
 from rasterlake.llm.jaccard_join import candidate_links, jaccard_components, nodes, verified_links
 from rasterlake.llm.suffix_dedup import SuffixRepeats
 from rasterlake.plans.tables import checkpointed
@@ -121,3 +122,22 @@ def test_a_place_meets_one_row_of_its_context(spark):
     for r in spans.collect():
         covered = {p for s in r["spans"] for p in range(s["first"], s["end"])}
         assert len(r["spans"]) <= 20 and {*range(400, 700)} <= covered
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_few_links_take_no_rounds(spark, held, monkeypatch):
+    """A long way, a crowd around its largest id, loops and repeated links: the same with and without rounds, which few links don't take."""
+    rng = random.Random(13)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)]
+    links = [*zip(ids[:150], ids[1:151]), *((max(ids), x) for x in ids[200:300]), *((x, x) for x in ids[150:310]), *((ids[300 + k], ids[301 + k]) for k in range(0, 80, 4) for _ in range(3))]
+    parent = {x: x for x in ids}
+    for _ in ids:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    want = {x: parent[x] for a, b in links for x in (a, b) if a != b}
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: tables.append(name) or f(df, name))
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(7), **({} if held else {"held": 0})).collect()
+    assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
+    assert len(tables) <= 2 if held else len(tables) > 5
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
