@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .components import components, joined
 #: Lower bits of a shingle's hash that don't tell whether it is common. Bytes on disk of a slice's key with its node, and what
 #: a pass may take of them however small the texts.
 PREFIX, KEY_BYTES, LEAST_DISK = np.uint64(16), 20, 1 << 28
+#: Rows of a cluster from which on it is cut into smaller ones before pairs of its blocks are multiplied.
+LARGE = 1024
 KEYS = np.random.default_rng(41).integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,10 +76,11 @@ class Slices:
     classes; a scheme serves the pairs whose larger set is of its class, and cuts both into one slice more than their
     columns can differ in, and `spare` ones. So a set may leave out up to `spare` slices that are idle: that have no
     columns but common ones. Which slices are idle depends on their columns alone, so two sets that agree in a slice
-    both leave it out or neither does. A shingle is common if it has the upper 48 bits of one of `common`."""
+    both leave it out or neither does. A shingle is common if it has the upper 48 bits of one of `common`. Each `turn`
+    deals the columns to slices anew."""
 
-    def __init__(self, percent: int, common: np.ndarray | None = None):
-        self.percent, self.bounds = percent, [1, 2]
+    def __init__(self, percent: int, common: np.ndarray | None = None, turn: int = 0):
+        self.percent, self.turn, self.bounds = percent, turn, [1, 2]
         self.common = np.empty(0, np.uint64) if common is None else np.sort(common >> PREFIX)
 
     def scheme(self, s: int) -> tuple[int, int]:
@@ -94,8 +98,12 @@ class Slices:
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
         """Of a sorted set: a hash of each slice's columns, for the schemes of its class and the next."""
-        own, out = self.class_of(len(x)), []
-        unit, value = (x >> np.uint64(11)).astype(np.float64) / (1 << 53), mix(x ^ KEYS[62])
+        own, out, place = self.class_of(len(x)), [], x
+        if self.turn:
+            place = mix(x ^ np.uint64(self.turn) * KEYS[58])
+            order = np.argsort(place)
+            place, x = place[order], x[order]
+        unit, value = (place >> np.uint64(11)).astype(np.float64) / (1 << 53), mix(x ^ KEYS[62])
         upper = x >> PREFIX
         at = np.searchsorted(self.common, upper)
         at[at == len(self.common)] = 0
@@ -114,10 +122,11 @@ class Slices:
         return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int = 16, least: int = 3, most: int = 1 << 17) -> np.ndarray:
+def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int = 16, least: int = 3, most: int = 1 << 17, varied: bool = False) -> np.ndarray:
     """Shingles of passages that stand in many surroundings, by their upper 48 bits, sorted: those followed, `distance` words
-    on, by the most different shingles. Copies of one text don't make their shingles common. Every document counts; the number
-    that is kept is bounded, and any choice gives the same links: it only decides which candidates are looked at."""
+    on, by the most different shingles. Copies of one text don't make their shingles common, nor, if `varied`, do many near
+    copies: different ones must follow in most places. Every document counts; the number that is kept is bounded, and any
+    choice gives the same links: it only decides which candidates are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, got, size = Shingler(n), [], 0
@@ -126,10 +135,12 @@ def common_shingles(docs: DataFrame, n: int, held: int = 1 << 20, distance: int
             here, there = (np.concatenate(x) for x in zip(*got))
             got.clear()
             pairs = here >> PREFIX << PREFIX | there & np.uint64(0xFFFF)  # a shingle by 48 bits, what follows by 16
-            pairs = distinct(pairs) >> PREFIX
+            pairs = np.sort(pairs) if varied else distinct(pairs)
+            new = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+            pairs = pairs >> PREFIX
             heads = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-            count = np.diff(np.concatenate([heads, [len(pairs)]]))
-            many = count >= least
+            count = np.add.reduceat(new.astype(np.int64), heads)
+            many = (count >= least) & (2 * count > np.diff(np.concatenate([heads, [len(pairs)]])))
             if many.any():
                 yield pa.record_batch({"shingle": pa.array((pairs[heads][many] << PREFIX).view(np.int64)), "n": pa.array(count[many].astype(np.int64))})
 
@@ -165,15 +176,16 @@ def nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -> DataFr
     return given.mapInArrow(run, "doc_id long, n_shingles long, class int, node long" + "".join(f", {c} long" for c in more))
 
 
-def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20, passes: int = 1) -> DataFrame:
+def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20, passes: int = 1, refine: int = 0, **common_of) -> DataFrame:
     """Links a, b that join the sets that agree in a slice. Rows of the input tasks are grouped before the shuffle: sets
     that a task has joined are one link each to the smallest of them, which alone stands for them in the slices' groups.
-    The slices are dealt in `passes` passes over the texts, so that only that part of their keys is on disk at a time."""
-    common = common_shingles(docs, n)
+    The slices are dealt in `passes` passes over the texts, so that only that part of their keys is on disk at a time.
+    With `refine` (a turn of Slices) rows have a node and a root, and sets are joined within a root only."""
+    common, columns = common_shingles(docs, n, **common_of), ["text", *["node", "root"] * bool(refine)]
 
     def run(turn: int):
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingler, slices, got, size = Shingler(n), Slices(percent, common), [], 0
+            shingler, slices, got, size = Shingler(n), Slices(percent, common, refine), [], 0
 
             def flush() -> Iterator[pa.RecordBatch]:
                 if not got:
@@ -193,10 +205,14 @@ def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20,
                 yield pa.record_batch({"key": pa.array(np.concatenate([keys[new].view(np.int64), ids[other]])), "node": pa.array(np.concatenate([ids[root[own[new]]], ids[other]])), "leader": pa.array(np.concatenate([np.zeros(m, np.int64), ids[root[other]]]), mask=np.arange(m + len(other)) < m)})
 
             for batch in batches:
-                for x in shingler.sets(batch.column("text")):
-                    if len(x):
+                wanted = zip(*(batch.column(c).to_pylist() for c in columns[1:])) if refine else repeat((None, 0))
+                for x, (known, root) in zip(shingler.sets(batch.column("text")), wanted):
+                    node = node_of(x) if len(x) else None
+                    if len(x) and known in (None, node):  # an id may be on several rows
                         keys = slices.signatures(x)
-                        got.append((keys[keys % np.uint64(passes) == turn] if passes > 1 else keys, node_of(x)))
+                        if refine:
+                            keys = mix(keys + np.array([root], np.int64).view(np.uint64) * KEYS[57])
+                        got.append((keys[keys % np.uint64(passes) == turn] if passes > 1 else keys, node))
                         size += len(got[-1][0])
                         if size > held:
                             yield from flush()
@@ -228,7 +244,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int, held: int = 1 << 20,
                 yield pa.record_batch({"a": pa.array(ids[other]), "b": pa.array(ids[root[other]])})
 
     def dealt(turn: int) -> DataFrame:
-        rows = docs.select("text").mapInArrow(run(turn), "key long, node long, leader long")
+        rows = docs.select(*columns).mapInArrow(run(turn), "key long, node long, leader long")
         return written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, "a long, b long"), "candidates")
 
     return reduce(DataFrame.union, [dealt(turn) for turn in range(passes)])
@@ -297,6 +313,34 @@ def key_passes(every: DataFrame, percent: int, disk: int) -> int:
     return max(1, -(-KEY_BYTES * sum(r["count"] * slices.scheme(s)[0] for r in sizes for s in (r["class"], r["class"] + 1)) // max(1, disk)))
 
 
+def refined(docs: DataFrame, members: DataFrame, n: int, percent: int, disk: int = 1 << 40, large: int = LARGE, rounds: int = 4) -> DataFrame:
+    """members with clusters of more than `large` rows cut into smaller ones, or left as they are if they don't get smaller.
+
+    Passages that a few of a thousand texts share are too rare to count as common among all texts, but the number of sets
+    that one of them joins by chance, and the clusters that such chances chain, grow faster than the input; products of
+    blocks grow with a cluster's square. Among the texts of large clusters these passages are frequent. So their columns
+    are dealt to slices anew, with those that are common here: linked sets agree in a slice of every dealing, so each
+    link lies within a new cluster too. Sets that agree with no other one have no links, and go.
+    """
+    texts = docs.select(order_id().alias("owner"), "text")
+    before = None
+    for turn in range(1, rounds + 1):
+        # a plain table, so that the members of a very large cluster are dealt to several tasks
+        sizes = written(members.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > large), "sizes")
+        count = sizes.agg(F.sum("size")).first()[0]
+        if not count or before and count * 8 > before * 7:
+            break
+        before = count
+        held = written(members.join(sizes, "root").select("owner", "node", "root", "class"), "large")
+        rows = written(texts.join(held, "owner").select("text", "node", "root"), "texts")
+        parts = components(candidate_links(rows, n, percent, passes=key_passes(held, percent, disk), refine=turn, least=2, varied=turn % 2 == 1))
+        rest = members.join(sizes, "root", "left_anti").select("owner", "node", "root", "class")
+        members = written(rest.union(held.drop("root").join(parts, "node").select("owner", "node", "root", "class")), "members")
+        for old in (sizes, rows, held):
+            discard(old)
+    return members
+
+
 def verified_links(docs: DataFrame, members: DataFrame, n: int, percent: int, least_block: int = 256, most_block: int = 1024, disk: int = 1 << 40) -> DataFrame:
     """Links a, b within clusters: rows of blocks of a cluster are multiplied, pair of blocks by pair of blocks.
 
@@ -404,7 +448,11 @@ def _linked_nodes(docs: DataFrame, n: int, percent: int, hashed: bool = False) -
     owners = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("owner"), F.min("class").alias("class"))
     clusters = components(candidate_links(docs, n, percent, passes=key_passes(every, percent, max(LEAST_DISK, 8 * shingles))))
     members = written(clusters.join(owners, "node").select("owner", "node", "root", "class"), "members")
-    return every, components(verified_links(docs, members, n, percent, disk=4 * shingles)), owners
+    inside = written(docs.select(order_id().alias("doc_id"), "text").join(members.select(F.col("owner").alias("doc_id")), "doc_id", "left_semi"), "inside")
+    members = refined(inside, members, n, percent, max(LEAST_DISK, 8 * shingles), LARGE)
+    found = components(verified_links(inside, members, n, percent, disk=4 * shingles))
+    discard(inside)
+    return every, found, owners
 
 
 def first_of_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:

@@ -54,6 +54,43 @@ def test_keys_in_passes(spark, monkeypatch):
     assert made.count("candidates") == 2
 
 
+def test_large_clusters_are_cut(spark, monkeypatch):
+    """Passages that were not common among all texts chain sets into one cluster; it is cut before its pairs are multiplied,
+    and no link is lost."""
+    rng = random.Random(17)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [text(24) for _ in range(2)]
+    sets = []
+    for i in range(240):
+        own = text(70)
+        at = rng.randrange(70)
+        sets.append(own[:at] + passages[i % 2] + own[at:])
+        if i % 8 == 0:
+            sets.append([*sets[-1][:-1], "other"])
+    docs = checkpointed(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sets)], "doc_id long, text string").repartition(3))
+    common, verified, largest = jaccard_join.common_shingles, jaccard_join.verified_links, []
+    # as if all texts were so many that the passages are rare among them
+    monkeypatch.setattr(jaccard_join, "common_shingles", lambda d, n, **k: common(d, n, **k) if k else common(d, n)[:0])
+    monkeypatch.setattr(jaccard_join, "verified_links", lambda d, m, *a, **k: largest.append(m.groupBy("root").count().agg(F.max("count")).first()[0]) or verified(d, m, *a, **k))
+    monkeypatch.setattr(jaccard_join, "LARGE", 32, raising=False)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs, 5, 80).collect()}
+    want = {i: i - 1 if x[-1] == "other" else i for i, x in enumerate(sets)}
+    assert got == want
+    assert largest[0] <= 32
+
+
+def test_near_copies_are_not_common_if_varied(spark):
+    """Edited copies of a text have different shingles here and there; those of a passage, everywhere."""
+    rng = random.Random(19)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(30)
+    rows = [(i, f"{text(60)} {passage} {text(60)}") for i in range(20)]
+    docs = near_copies(spark, 60, 1).union(spark.createDataFrame(rows, "doc_id long, text string")).coalesce(1)
+    at = lambda t: set(next(jaccard_join.Shingler(5).sets(pa.array([t]))) >> jaccard_join.PREFIX)
+    upper = lambda **k: set(jaccard_join.common_shingles(docs, 5, least=2, **k) >> jaccard_join.PREFIX)
+    assert upper(varied=True) & at(passage) and upper(varied=True) <= at(passage) < upper() | at(passage)
+
+
 def test_common_shingles(spark):
     """A passage in many surroundings is common by the upper 48 bits of its shingles; copies of a text are not."""
     rng = random.Random(13)
