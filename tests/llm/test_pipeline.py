@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline as P
+from rasterlake.llm.common import BATCH
 from tests.llm.test_dedup import brute_components
 from tests.llm.test_scans import brute_mix, brute_tokens, xx
 
@@ -69,3 +70,14 @@ def test_near_copies_of_rows_without_an_id(spark):
     got = sorted((groups[" ".join(t.split()[:99])], i or 0) for i, t in left if t)
     assert got == [(0, 1), (1, 0), (2, 0), (3, 2), (4, 3)]
     assert [r for r in left if not r[1]].count((4, "")) == 1 and len(left) == 8
+
+
+def test_stages_have_small_batches(spark, none):
+    """Executors keep what batches took from stage to stage."""
+    before = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, str(64 << 20))
+        P.source_mix(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "")
+        assert int(spark.conf.get(BATCH)) <= 4 << 20
+    finally:
+        spark.conf.set(BATCH, before)
